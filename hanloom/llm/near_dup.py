@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import arrow_map, flat_map, signed64
 
 WIDTH = 5
@@ -241,3 +242,33 @@ def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     across = linked.join(a, "class_a").join(b, "class_b").select("a", "b")
     within = members.toDF("a", "class").join(members.toDF("b", "class"), "class").where("a < b").select("a", "b")
     return across.unionByName(within).select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+
+
+def groups(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, group_id, links): one row for each text; group_id is the smallest key of its connected group.
+
+    Labels run along class links with pointer jumping, so the number of rounds is logarithmic in a
+    group's diameter; the lineage is cut each round in the shared checkpoint folder.
+    """
+    signed = classes(rows, key).persist()
+    members = signed.select(key, "class").distinct()
+    representatives = signed.groupBy("class").agg(F.min("plain").alias("plain")).persist()
+    linked = similar_classes(representatives, threshold)
+    edges = cut_lineage(linked.unionByName(linked.toDF("class_b", "class_a").select("class_a", "class_b")).distinct())
+    labels = cut_lineage(members.groupBy("class").agg(F.min(key).alias("label"), F.count("*").alias("copies")))
+    sizes = labels.select("class", "copies")
+    links = edges.join(sizes.toDF("class_b", "n"), "class_b").groupBy(F.col("class_a").alias("class")).agg(F.sum("n").alias("n"))
+    current = labels.select("class", "label")
+    owner = members.toDF("label", "root")
+    while True:
+        near = edges.join(current.toDF("class_b", "offer"), "class_b").groupBy(F.col("class_a").alias("class")).agg(F.min("offer").alias("offer"))
+        stepped = current.join(near, "class", "left").select("class", F.least("label", F.coalesce("offer", "label")).alias("next"), "label")
+        # Jump to the label of the class that the label's own text belongs to.
+        roots = stepped.select(F.col("class").alias("root"), F.col("next").alias("jump"))
+        jumped = stepped.join(owner.toDF("next", "root"), "next").join(roots, "root").select("class", F.least("next", "jump").alias("label"), F.col("label").alias("before"))
+        jumped = cut_lineage(jumped)
+        current = jumped.select("class", "label")
+        if jumped.where("label <> before").isEmpty():
+            break
+    own = members.join(sizes, "class").join(links, "class", "left").join(current, "class")
+    return own.select(key, F.col("label").alias("group_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
