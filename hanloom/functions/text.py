@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes and marker sets, and the lines that cleaning drops.
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
@@ -22,16 +23,23 @@ DROPPED_QUOTES = "「」『』〈〉《》“”‘’\"'"
 ZERO_WIDTH = "​‌‍﻿"
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed form; there is no built-in for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _normalised(form: str, text: Column) -> Column:
+    """There is no built-in for Unicode forms; the function travels by value, so executors need no package."""
 
+    def change(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+    return F.pandas_udf(change, StringType())(text)
+
+
+def nfc(text: Column) -> Column:
+    """Composed form."""
+    return _normalised("NFC", text)
+
+
+def nfkc(text: Column) -> Column:
     """Compatibility form."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return _normalised("NFKC", text)
 
 
 def strip(text: Column) -> Column:
@@ -153,8 +161,13 @@ def windows(items: Column, size: int, overlap: int, glue: str = " ") -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """The set of runs of ``n`` code points; a shorter text is its own only run, an empty one has none."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(runs))
+
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(runs))
+
+    # Bound to a variable, so that the expression behind ``text`` is evaluated once and not for each run.
+    return F.element_at(F.transform(F.array(text), of), 1)
 
 
 def safe_filename(name: Column, longest: int = 120) -> Column:
