@@ -14,7 +14,6 @@ The vocabulary (syllables of a language, Han characters) is closed; its size is
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,29 +192,22 @@ def _counts(units: DataFrame) -> DataFrame:
     """(s, c, n): in how many paired units two terms stand together; s or c is empty for a term alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush(seen: Counter) -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([float(seen[k]) for k in keys], pa.float64())], ["s", "c", "n"])
-
+        # Terms are numbered as they come; row and column 0 count a term alone.
+        rows, columns = {"": 0}, {"": 0}
+        table = np.zeros((1024, 1024), np.float32)
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = sorted({t for t in vi_terms(a) if t[0] != "#"})
-                y = sorted({t for t in zh_terms(b) if t[0] != "#"})
+                x = [0, *(rows.setdefault(t, len(rows)) for t in {t for t in vi_terms(a) if t[0] != "#"})]
+                y = [0, *(columns.setdefault(t, len(columns)) for t in {t for t in zh_terms(b) if t[0] != "#"})]
+                grown = [max(size, 1 << (len(names) - 1).bit_length()) for size, names in zip(table.shape, (rows, columns))]
+                if tuple(grown) != table.shape:
+                    table = np.pad(table, [(0, n - o) for n, o in zip(grown, table.shape)])
                 # A short unit says more about its terms than a long one.
-                share = 1.0 / max(1, len(x), len(y))
-                for s in x:
-                    seen[(s, "")] += share
-                    for c in y:
-                        seen[(s, c)] += share
-                for c in y:
-                    seen[("", c)] += share
-                if len(seen) > 500_000:
-                    yield flush(seen)
-                    seen = Counter()
-        if seen:
-            yield flush(seen)
+                table[np.ix_(x, y)] += 1.0 / max(1, len(x) - 1, len(y) - 1)
+        i, j = np.nonzero(table)
+        s, c = np.array(list(rows), object), np.array(list(columns), object)
+        keep = (i > 0) | (j > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(s[i[keep]], pa.string()), pa.array(c[j[keep]], pa.string()), pa.array(table[i[keep], j[keep]].astype(np.float64))], ["s", "c", "n"])
 
     return arrow_map(units, count, "s string, c string, n double").groupBy("s", "c").agg(F.sum("n").alias("n"))
 
