@@ -31,9 +31,11 @@ _VOLUME_VI, _VOLUME_ZH = regex.compile(r"(?:quyển|q\.)\s*(\d+)\s*$", regex.I),
 _DIGIT = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0}
 _UNIT = {"十": 10, "百": 100, "千": 1000, "萬": 10000, "万": 10000}
 
-#: Rank of the decomposition and the largest vocabulary of one side that the driver decomposes.
+#: Rank of the decomposition; vocabularies up to DENSE are decomposed in full, larger ones by random projection.
 RANK = 300
-MOST_TERMS = 30_000
+DENSE = 4_000
+#: Both languages' vocabularies are closed sets; more terms than this are not words of two languages.
+MOST_TERMS = 400_000
 #: Least cosine that counts, least score of a pair and its margin over the rest.
 LEAST_COSINE, LEAST_SCORE, MARGIN = 0.4, 0.54, 0.1
 
@@ -212,12 +214,40 @@ def _counts(units: DataFrame) -> DataFrame:
     return arrow_map(units, count, "s string, c string, n double").groupBy("s", "c").agg(F.sum("n").alias("n"))
 
 
+def decompose(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int], rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows and of the columns of a sparse matrix, from its leading singular vectors."""
+    if not len(values):
+        return np.zeros((shape[0], 1)), np.zeros((shape[1], 1))
+    if max(shape) <= DENSE:
+        matrix = np.zeros(shape, np.float32)
+        matrix[rows, columns] = values
+        u, sv, vt = np.linalg.svd(matrix, full_matrices=False)
+    else:
+
+        def times(i: np.ndarray, j: np.ndarray, size: int, x: np.ndarray) -> np.ndarray:
+            return np.stack([np.bincount(i, weights=values * x[j, k], minlength=size) for k in range(x.shape[1])], axis=1)
+
+        # A random projection, sharpened by two power steps, spans the leading singular vectors.
+        basis = np.random.default_rng(7).standard_normal((shape[1], min(rank + 20, *shape)))
+        for _ in range(3):
+            basis, _ = np.linalg.qr(times(rows, columns, shape[0], basis))
+            onto = times(columns, rows, shape[1], basis)
+            basis_next, _ = np.linalg.qr(onto)
+            left_basis, basis = basis, basis_next
+        small = times(columns, rows, shape[1], left_basis).T
+        inner, sv, vt = np.linalg.svd(small, full_matrices=False)
+        u = left_basis @ inner
+    rank = min(rank, len(sv))
+    a, b = u[:, :rank] * np.sqrt(sv[:rank]), vt[:rank].T * np.sqrt(sv[:rank])
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6), b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-6)
+
+
 def learn_vectors(units: DataFrame, lines: DataFrame) -> Vectors:
     """Vectors from the paired units (a, b) by decomposition; weights from how many lines hold a term."""
     counts = _counts(units).persist()
-    # Two closed vocabularies, at most all syllables by all characters in use.
+    # Two closed vocabularies; their size is checked before anything comes to the driver.
     terms = counts.where("c = '' or s = ''").count()
-    if terms > 2 * MOST_TERMS:
+    if terms > MOST_TERMS:
         raise ValueError(f"{terms} terms: not the vocabulary of two languages")
     table = counts.where("n > 0.04 or c = '' or s = ''").toPandas()
     alone_s = table[table.c == ""].set_index("s").n
@@ -225,17 +255,9 @@ def learn_vectors(units: DataFrame, lines: DataFrame) -> Vectors:
     both = table[(table.c != "") & (table.s != "")]
     left, right = sorted(alone_s.index), sorted(alone_c.index)
     ls, rc = {t: i for i, t in enumerate(left)}, {t: i for i, t in enumerate(right)}
-    matrix = np.zeros((len(left), len(right)), np.float32)
     expected = np.sqrt(alone_s.loc[both.s].to_numpy() * alone_c.loc[both.c].to_numpy())
-    matrix[both.s.map(ls).to_numpy(), both.c.map(rc).to_numpy()] = (both.n.to_numpy() / np.maximum(expected, 1e-9)) ** 2
-    if matrix.size:
-        u, sv, vt = np.linalg.svd(matrix, full_matrices=False)
-        rank = min(RANK, len(sv))
-        a, b = u[:, :rank] * np.sqrt(sv[:rank]), vt[:rank].T * np.sqrt(sv[:rank])
-        a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
-        b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-6)
-    else:
-        a, b = np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32)
+    values = (both.n.to_numpy() / np.maximum(expected, 1e-9)) ** 2
+    a, b = decompose(both.s.map(ls).to_numpy(np.int64), both.c.map(rc).to_numpy(np.int64), values, (len(left), len(right)))
 
     def held(side, text, _):
         cut = vi_terms if side == 0 else zh_terms
