@@ -33,7 +33,7 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
 
 def text_stats(s, d):
     han, latin = T.count_of(F.col("text"), T.HAN), T.count_of(F.col("text"), T.LATIN)
-    rows = _documents(s, d).select("doc_id", F.length("text").alias("chars"), han.alias("han"), latin.alias("latin"), T.traditional_score(F.coalesce("text", F.lit(""))).alias("ts"))
+    rows = _documents(s, d).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), han.alias("han"), latin.alias("latin"), T.traditional_score(F.coalesce("text", F.lit(""))).alias("ts"))
     return rows.select("doc_id", "chars", "han", "latin", F.round(T.ratio(F.col("han"), F.col("latin")), 6).alias("han_ratio"), F.round(T.ratio(F.col("latin"), F.col("han")), 6).alias("latin_ratio"), F.round("ts", 6).alias("traditional_score"))
 
 
@@ -76,7 +76,7 @@ def signatures(s, d):
 
 
 def pages_latest(s, d):
-    return _latest(s, d).select("doc_id", "page_id", "status", F.length("text").alias("chars"))
+    return _latest(s, d).select("doc_id", "page_id", "status", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
 
 
 def line_run_stats(s, d):

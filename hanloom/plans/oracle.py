@@ -171,7 +171,7 @@ def oracle_sql() -> dict[str, str]:
     han, latin = _count("text", HAN), _count("text", LATIN)
     old, new = _count("text", TRADITIONAL), _count("text", SIMPLIFIED)
     return {
-        "text_stats": f"SELECT doc_id, length(text) AS chars, {han} AS han, {latin} AS latin, round({_share(han, latin)}, 6) AS han_ratio, round({_share(latin, han)}, 6) AS latin_ratio, round(CASE WHEN {old} + {new} > 0 THEN CAST({old} AS DOUBLE) / ({old} + {new}) ELSE 0.5 END, 6) AS traditional_score FROM documents",
+        "text_stats": f"SELECT doc_id, coalesce(length(text), 0) AS chars, {han} AS han, {latin} AS latin, round({_share(han, latin)}, 6) AS han_ratio, round({_share(latin, han)}, 6) AS latin_ratio, round(CASE WHEN {old} + {new} > 0 THEN CAST({old} AS DOUBLE) / ({old} + {new}) ELSE 0.5 END, 6) AS traditional_score FROM documents",
         "clean_text_export": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
         "clean_text_aggressive": f"SELECT doc_id, {_clean('text', True)} AS text FROM documents",
         "clean_text_keyword": f"SELECT doc_id, {_keyword_text('text')} AS text FROM documents WHERE text IS NOT NULL",
@@ -179,7 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "sentence_windows": _windows(_units(), "u", 8, 6),
         "token_windows": _windows(f"SELECT doc_id, list_filter(string_split({_drop('coalesce(text, ' + chr(39) * 2 + ')', f'[{SPACE}]+', chr(1))}, chr(1)), lambda x: x <> '') AS u FROM documents", "u", 100, 50),
         "signatures": f"WITH {_ONE} SELECT global_id, sha1({_signature('text')}) AS han_hash, sha1({_signature('text', LATIN)}) AS latin_hash FROM cand WHERE text IS NOT NULL",
-        "pages_latest": f"WITH {_LATEST} SELECT doc_id, page_id, status, length(text) AS chars FROM latest",
+        "pages_latest": f"WITH {_LATEST} SELECT doc_id, page_id, status, coalesce(length(text), 0) AS chars FROM latest",
         "line_run_stats": f"WITH {_ONE}, src AS (SELECT global_id, text FROM cand WHERE text IS NOT NULL), {_runs('src', 'global_id', 'text').strip()} SELECT * FROM runs",
         "page_gate": f"WITH {_gate()} SELECT doc_id, page_id, coalesce(reason, 'candidate') AS reason, length(clean) AS chars, han FROM gated",
         "funnel_summary": f"WITH {_gate()} SELECT count(*) AS pages, count_if(reason IS NULL) AS candidates, count(DISTINCT CASE WHEN reason IS NULL THEN sig END) AS distinct_texts FROM gated",
