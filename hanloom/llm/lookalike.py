@@ -27,8 +27,8 @@ from .common import arrow_map, flat_map, per_task, signed64
 GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
 CYRILLIC_AS_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХЬаеѕіјорсухһԁԛԝԚԜӏ", "ABESIJKMHOPCTYXbaesijopcyxhdqwQWl"))
 LATIN_AS_LATIN = dict(zip("ÐƉɑɡ", "ĐĐag"))
-KANA_AS_HAN = dict(zip("ニハロタカエトニー一", "二八口夕力工卜二一一"))
-RADICALS_AS_HAN = {"⺅": "亻", "⺌": "小", "⻌": "辶", "⻑": "長", "⻔": "門", "⻩": "黃", "⿊": "黑", "〇": "〇"}
+KANA_AS_HAN = dict(zip("ニハロタカエト", "二八口夕力工卜"))
+RADICALS_AS_HAN = {"⺅": "亻", "⺌": "小", "⻌": "辶", "⻑": "長", "⻔": "門", "⻩": "黃", "⿊": "黑"}
 
 IGNORABLE_MARKS = [0x34F, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x180F)]
 

@@ -1,9 +1,10 @@
 """Problem 3: the main body of a page without what its site puts around it.
 
 Host suffix array.  The pages of a host are concatenated as streams of line tokens (letters in
-lower case, numbers masked); the array's buckets of suffixes that begin with the same line, and
-with the same two lines, are counted by distinct documents.  Because a bucket is a group of a
-shuffle with partial aggregation, no host and no repeated line is ever gathered in one task.
+lower case, numbers masked); the array's buckets of suffixes that begin with the same line are
+counted by distinct documents.  A line inside any longer repeated substring heads such a bucket
+itself, so the buckets give the cover of all repeated substrings.  Because a bucket is a group of
+a shuffle with partial aggregation, no host and no repeated line is ever gathered in one task.
 Lines covered by a repeated substring are boilerplate; the same is done over all hosts with the
 site's name masked, for sites with few pages.  Unique runs are kept, except for what hangs on
 boilerplate by its form: breadcrumbs and menus whose segments are boilerplate, and the entries of
@@ -106,10 +107,9 @@ def repeated_tokens(lines: DataFrame) -> DataFrame:
     counted = lines.where("token is not null and first").groupBy("host", "token", "wide").agg(F.count_distinct("document").alias("n"))
     counted = counted.persist()
     hosts = lines.where("part = 0").groupBy("host").agg(F.count_distinct("document").alias("documents"))
-    sizes = hosts.agg(F.sum("documents").alias("all_documents"))
+    all_documents = hosts.agg(F.sum("documents")).first()[0] or 0
     on_host = counted.join(hosts, "host").where((F.col("n") >= HOST_DOCUMENTS) & (F.col("n") >= F.col("documents") * HOST_SHARE)).select("host", "token")
-    # One row: the number of documents, summed over hosts.
-    widely = counted.groupBy("wide").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(sizes)).where((F.col("n") >= ALL_DOCUMENTS) & (F.col("n") >= F.col("all_documents") * ALL_SHARE)).select("wide")
+    widely = counted.groupBy("wide").agg(F.sum("n").alias("n")).where(F.col("n") >= max(ALL_DOCUMENTS, all_documents * ALL_SHARE)).select("wide")
     everywhere = counted.join(widely, "wide").select("host", "token")
     return on_host.unionByName(everywhere).distinct()
 

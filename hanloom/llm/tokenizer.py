@@ -111,7 +111,8 @@ class Encoder:
         while (at := tree.first()) >= 0:
             right = end[at]
             end[at] = after = end[right]
-            tree.set(right, -1) if right < n - 1 else None
+            if right < n - 1:
+                tree.set(right, -1)
             if after < n:
                 before[after] = at
                 tree.set(at, ranks.get(data[at : end[after]], -1))
@@ -162,6 +163,6 @@ def token_ids(rows: DataFrame, key: str = "doc_id", vocabulary: str = f"{VOCABUL
                 offsets = np.zeros(len(packed) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(packed), np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id" if key == "doc_id" else key, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
 
     return arrow_map(rows.select(key, F.col("text")), run, f"{key} {kind}, ids array<int>")
