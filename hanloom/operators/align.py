@@ -11,15 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot
 from ..plans.iterate import locally_dominant
 from ..session import ship
 
 #: Query vectors in one pass; with 768 dimensions a block is about 100 MB.
 QUERY_BLOCK = 16_384
+#: Segments of one document compared at once.
+SEGMENT_BLOCK = 1_024
 
 
 def _neighbours_of(block: list, targets: DataFrame, k: int) -> DataFrame:
@@ -69,22 +71,50 @@ def vote(neighbours: DataFrame, k_docs: int = 10) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_docs).select("src", "dst", "votes", "rank")
 
 
-def _coverage(sims: DataFrame, side: str, trim: float) -> DataFrame:
+def _packed(segments: DataFrame, name: str) -> DataFrame:
+    """Segments gathered in blocks of about ``SEGMENT_BLOCK`` rows; a long document has several blocks."""
+    sizes = segments.groupBy("doc").agg(F.count("*").alias("n"))
+    blocks = F.pmod(F.xxhash64("chunk"), F.ceil(F.col("n") / SEGMENT_BLOCK))
+    placed = segments.join(sizes, "doc").withColumn("block", blocks)
+    return placed.groupBy(F.col("doc").alias(name), "block").agg(F.collect_list("chunk").alias(f"{name}_chunks"), F.collect_list("vec").alias(f"{name}_vecs")).drop("block")
+
+
+def _coverage(best: DataFrame, side: int, name: str, trim: float) -> DataFrame:
     """The mean of the best shares of one side's maximal similarities."""
-    best = sims.groupBy("src", "dst", side).agg(F.max("sim").alias("best"))
-    order = Window.partitionBy("src", "dst").orderBy(F.desc("best"), side)
-    ranked = best.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("src", "dst")))
-    return ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * trim + 1e-9))).groupBy("src", "dst").agg(F.avg("best").alias(side))
+    whole = best.where(F.col("side") == side).groupBy("src", "dst", "chunk").agg(F.max("best").alias("best"))
+    pair = Window.partitionBy("src", "dst")
+    ranked = whole.withColumns({"rn": F.row_number().over(pair.orderBy(F.desc("best"), "chunk")), "n": F.count("*").over(pair)})
+    return ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("n") * trim + 1e-9))).groupBy("src", "dst").agg(F.avg("best").alias(name))
 
 
 def bimax(pairs: DataFrame, sources: DataFrame, targets: DataFrame, mode: str = "avg", trim: float = 0.7) -> DataFrame:
-    """(src, dst, score): both directions' trimmed coverage, combined by avg, max or min."""
-    a = sources.select(F.col("doc").alias("src"), F.col("chunk").alias("src_chunk"), F.col("vec").alias("va"))
-    b = targets.select(F.col("doc").alias("dst"), F.col("chunk").alias("dst_chunk"), F.col("vec").alias("vb"))
-    sims = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst").select("src", "dst", "src_chunk", "dst_chunk", dot(F.col("va"), F.col("vb")).alias("sim"))
-    both = _coverage(sims, "src_chunk", trim).join(_coverage(sims, "dst_chunk", trim), ["src", "dst"])
-    f, g = F.col("src_chunk"), F.col("dst_chunk")
-    return both.select("src", "dst", {"avg": (f + g) / 2, "max": F.greatest(f, g), "min": F.least(f, g)}[mode].alias("score"))
+    """(src, dst, score): both directions' trimmed coverage, combined by avg, max or min.
+
+    Blocks of segments are compared by matrix products, which leave one maximum for each segment;
+    the rest is aggregation.
+    """
+    ship(pairs.sparkSession)
+    kinds = dict(pairs.dtypes) | {"chunk": dict(sources.dtypes)["chunk"]}
+    both = pairs.select("src", "dst").distinct().join(_packed(sources, "src"), "src").join(_packed(targets, "dst"), "dst")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(cell) -> np.ndarray:
+            rows = cell.values
+            return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+        for batch in batches:
+            src, dst, ca, va, cb, vb = batch.columns
+            for i in range(batch.num_rows):
+                sims = matrix(va[i]) @ matrix(vb[i]).T
+                for side, chunks, best in ((0, ca[i].values, sims.max(axis=1)), (1, cb[i].values, sims.max(axis=0))):
+                    n = len(best)
+                    yield pa.RecordBatch.from_arrays([pa.array([src[i].as_py()] * n, src.type), pa.array([dst[i].as_py()] * n, dst.type), pa.array([side] * n, pa.int32()), chunks, pa.array(best, pa.float64())], ["src", "dst", "side", "chunk", "best"])
+
+    wide = both.select("src", "dst", "src_chunks", "src_vecs", "dst_chunks", "dst_vecs")
+    best = wide.mapInArrow(compare, f"src {kinds['src']}, dst {kinds['dst']}, side int, chunk {kinds['chunk']}, best double").persist()
+    joined = _coverage(best, 0, "f", trim).join(_coverage(best, 1, "g", trim), ["src", "dst"])
+    f, g = F.col("f"), F.col("g")
+    return joined.select("src", "dst", {"avg": (f + g) / 2, "max": F.greatest(f, g), "min": F.least(f, g)}[mode].alias("score"))
 
 
 def csls(forward: DataFrame, backward: DataFrame, k: int = 10, k_out: int = 10) -> DataFrame:

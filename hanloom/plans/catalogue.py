@@ -97,9 +97,8 @@ def page_rollup(s, d):
 
 
 def funnel_summary(s, d):
-    gated = _gated(s, d)
-    kept = gated.where("reason is null")
-    return gated.agg(F.count("*").alias("pages"), F.count_if(F.col("reason").isNull()).alias("candidates")).join(F.broadcast(kept.agg(F.count_distinct("hash").alias("distinct_texts"))))
+    kept = F.col("reason").isNull()
+    return _gated(s, d).agg(F.count("*").alias("pages"), F.count_if(kept).alias("candidates"), F.count_distinct(F.when(kept, F.col("hash"))).alias("distinct_texts"))
 
 
 def rejection_reasons(s, d):
