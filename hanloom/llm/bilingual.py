@@ -3,9 +3,11 @@
 Cross-lingual vectors come from a singular value decomposition of paired document terms: the
 terms are Vietnamese syllables and Han characters, the paired documents are the entries of the
 translation table and the document pairs themselves, in a second round the line pairs found in the
-first.  Lines, and windows of two neighbouring lines, are compared by how much of each side's
-weight the other side's vectors cover; a pair is kept when it is a neighbour of either side, or of
-a merged window, by a margin over the competing neighbours.  Nothing asks for the same order.
+first.  Lines, and parts of lines cut at joints, are compared by how much of each side's weight the
+other side's vectors cover.  A pair is kept when its lines are each other's nearest, or when one
+line merges units and the other is nearest to it, by a margin over the competing neighbours.  A
+line merges units if it has a joint, or if a window that joins two lines whose nearest it is covers
+it better than either does alone.  Nothing asks for the same order.
 
 Null or missing texts, pairs that name no file and blank lines give no row; repeated rows count once.
 The vocabulary (syllables of a language, Han characters) is closed; its size is checked.
@@ -38,6 +40,8 @@ DENSE = 4_000
 MOST_TERMS = 400_000
 #: Least cosine that counts, least score of a pair and its margin over the rest.
 LEAST_COSINE, LEAST_SCORE, MARGIN = 0.4, 0.54, 0.1
+#: What a window of two lines must score above the better of them for the line opposite to merge both.
+JOINED = 0.04
 
 
 def han_number(text: str) -> int | None:
@@ -107,21 +111,39 @@ class Vectors:
         return self.weights[side].get(term, 4.0)
 
 
-def coverage(lines_a: list[list[str]], lines_b: list[list[str]], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair of lines: the share of the first's weight that the second covers, and the reverse."""
-    ta, tb = sorted({t for x in lines_a for t in x}), sorted({t for x in lines_b for t in x})
-    sim = vectors.cosines(ta, tb)
-    ia, ib = {t: i for i, t in enumerate(ta)}, {t: i for i, t in enumerate(tb)}
+def _blend(forth, back):
+    return 0.6 * np.maximum(forth, back) + 0.4 * np.minimum(forth, back)
 
-    def one(rows, row_index, columns, column_index, table, side):
-        weight = np.zeros((len(rows), len(row_index)), np.float32)
-        for i, x in enumerate(rows):
-            for t in set(x):
-                weight[i, row_index[t]] = vectors.weight(side, t)
-        best = np.stack([table[:, sorted({column_index[t] for t in y})].max(axis=1) for y in columns], axis=1)
-        return weight @ best / np.maximum(weight.sum(axis=1, keepdims=True), 1e-6)
 
-    return one(lines_a, ia, lines_b, ib, sim, 0), one(lines_b, ib, lines_a, ia, sim.T, 1).T
+class Coverage:
+    """How much of the weight of each line the lines of the other side cover, alone or joined."""
+
+    def __init__(self, lines_a: list[list[str]], lines_b: list[list[str]], vectors: Vectors) -> None:
+        ta, tb = sorted({t for x in lines_a for t in x}), sorted({t for x in lines_b for t in x})
+        sim = vectors.cosines(ta, tb)
+        ia, ib = {t: i for i, t in enumerate(ta)}, {t: i for i, t in enumerate(tb)}
+
+        def one(rows, row_index, columns, column_index, table, side):
+            weight = np.zeros((len(rows), len(row_index)), np.float32)
+            for i, x in enumerate(rows):
+                for t in set(x):
+                    weight[i, row_index[t]] = vectors.weight(side, t)
+            return weight, np.stack([table[:, sorted({column_index[t] for t in y})].max(axis=1) for y in columns], axis=1)
+
+        # For each side: the weights (line, term) and the best cosine of (term, line of the other side).
+        self.sides = one(lines_a, ia, lines_b, ib, sim, 0), one(lines_b, ib, lines_a, ia, sim.T, 1)
+
+    def scores(self) -> np.ndarray:
+        """The score of each line of a with each line of b."""
+        forth, back = (weight @ best / np.maximum(weight.sum(axis=1, keepdims=True), 1e-6) for weight, best in self.sides)
+        return _blend(forth, back.T)
+
+    def joined(self, side: int, line: int, j: int, k: int) -> float:
+        """The score of a line of ``side`` with the window that joins the lines j and k of the other side."""
+        (mine, best), (theirs, best_of_theirs) = self.sides[side], self.sides[1 - side]
+        both = np.maximum(theirs[j], theirs[k])
+        forth = mine[line] @ np.maximum(best[:, j], best[:, k]) / max(mine[line].sum(), 1e-6)
+        return float(_blend(forth, both @ best_of_theirs[:, line] / max(both.sum(), 1e-6)))
 
 
 def _windows(text: str, terms, cuts: regex.Pattern) -> list[tuple[int, list[str]]]:
@@ -150,12 +172,16 @@ def align(text_a: str, text_b: str, vectors: Vectors, least: float = LEAST_SCORE
     rows_a, rows_b = _windows(text_a, vi_terms, _CUT_VI), _windows(text_b, zh_terms, _CUT_ZH)
     if not rows_a or not rows_b:
         return []
-    forth, back = coverage([t for _, t in rows_a], [t for _, t in rows_b], vectors)
+    cover = Coverage([t for _, t in rows_a], [t for _, t in rows_b], vectors)
     numbers_a, numbers_b = [n for n, _ in rows_a], [n for n, _ in rows_b]
-    score = _by_line(0.6 * np.maximum(forth, back) + 0.4 * np.minimum(forth, back), numbers_a, numbers_b)
+    windows = cover.scores()
+    score = _by_line(windows, numbers_a, numbers_b)
     lines_a, lines_b = list(dict.fromkeys(numbers_a)), list(dict.fromkeys(numbers_b))
     merged_a = np.array([numbers_a.count(n) > 1 for n in lines_a])
     merged_b = np.array([numbers_b.count(n) > 1 for n in lines_b])
+    whole_a, whole_b = np.flatnonzero(np.diff(numbers_a, prepend=-1)), np.flatnonzero(np.diff(numbers_b, prepend=-1))
+    whole = windows[np.ix_(whole_a, whole_b)]
+    nearest_a, nearest_b = score.argmax(axis=1), score.argmax(axis=0)
     all_a, all_b = text_a.split("\n"), text_b.split("\n")
     first_a, first_b = score.max(axis=1), score.max(axis=0)
 
@@ -164,6 +190,14 @@ def align(text_a: str, text_b: str, vectors: Vectors, least: float = LEAST_SCORE
         order = np.sort(matrix, axis=1)[:, ::-1]
         return order[:, 2:5].mean(axis=1) if order.shape[1] > 2 else np.zeros(len(matrix))
 
+    def merges(side: int, line: int, other: int) -> bool:
+        """Whether ``line`` merges the unit of ``other`` and that of a further line whose nearest it is."""
+        alone, own, back = (whole[line], nearest_a[line], nearest_b) if side == 0 else (whole[:, line], nearest_b[line], nearest_a)
+        mine, theirs = (whole_a, whole_b) if side == 0 else (whole_b, whole_a)
+        scored = score[line] if side == 0 else score[:, line]
+        partners = {int(own), *map(int, np.flatnonzero((back == line) & (scored >= least)))} - {int(other)}
+        return any(cover.joined(side, mine[line], theirs[other], theirs[k]) >= max(alone[other], alone[k]) + JOINED for k in partners)
+
     rest_a, rest_b = rest(score), rest(score.T)
     out = []
     for i, j in zip(*np.where(score >= least)):
@@ -171,7 +205,7 @@ def align(text_a: str, text_b: str, vectors: Vectors, least: float = LEAST_SCORE
         margin = s - (rest_a[i] + rest_b[j]) / 2
         best_a, best_b = s >= first_a[i] - 1e-9, s >= first_b[j] - 1e-9
         # Mutual neighbours, or the neighbour of one side inside the other's merged line.
-        if margin >= MARGIN and (best_a and best_b or best_a and merged_b[j] or best_b and merged_a[i]):
+        if margin >= MARGIN and (best_a and (best_b or merged_b[j] or merges(1, j, i)) or best_b and (merged_a[i] or merges(0, i, j))):
             a, b = all_a[lines_a[i] - 1], all_b[lines_b[j] - 1]
             volume_a, volume_b = _VOLUME_VI.search(a), _VOLUME_ZH.search(b)
             if volume_a and volume_b and int(volume_a[1]) != han_number(volume_b[1]):

@@ -104,6 +104,23 @@ def test_alignment_permits_reordering(spark, data):
     assert bilingual.aligned_lines(src.limit(0), cand, gold, table).count() == 0
 
 
+def test_line_merged_without_a_joint_gives_both_pairs():
+    names = "a b c d e f g h i j k l m n o p q r s t".split()
+    vectors = bilingual.Vectors(names, [chr(0x4E00 + 100 + k) for k in range(20)], np.eye(20, dtype=np.float32), np.eye(20, dtype=np.float32), ({}, {}))
+    han = dict(zip(names, vectors.b))
+
+    def zh(words):
+        return "".join(han.get(w, w) for w in words.split())
+
+    first, second, other, last = "a b c d e j", "f g h i", "k l m n o", "p q r s t"
+    merged = f"{first} x y, {second}"
+    text = "\n".join(zh(x) for x in (second, last, first, other))
+    assert {(i, j) for i, j, _ in bilingual.align("\n".join([merged, other, last]), text, vectors)} == {(1, 3), (1, 1), (2, 4), (3, 2)}
+    # The other side may merge, and a line that only resembles one unit is not taken for a second.
+    assert {(i, j) for i, j, _ in bilingual.align("\n".join([first, other, second, last]), "\n".join([zh(first + " " + second), zh(other), zh(last)]), vectors)} == {(1, 1), (3, 1), (2, 2), (4, 3)}
+    assert {(i, j) for i, j, _ in bilingual.align("\n".join([first, other, last]), "\n".join([zh("a b c 龍 龜"), zh(first), zh(other), zh(last)]), vectors)} == {(1, 2), (2, 3), (3, 4)}
+
+
 def test_random_projection_agrees_with_full_decomposition():
     rng = np.random.default_rng(1)
     low = rng.standard_normal((60, 4)) @ rng.standard_normal((4, 50))
