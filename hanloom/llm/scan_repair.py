@@ -41,8 +41,13 @@ _PAGE = regex.compile(
     regex.I,
 )
 _PAGE_MARK = regex.compile(r"[\-–—―·.•*\[\](){}<>（）【】〔〕|/~第葉頁页]|page|trang", regex.I)
-_HAN_HEADER = regex.compile(r"^\s*(?:[0-9０-９]{1,5}\s+)?[\p{Han}]{2,12}卷(?!之)[一二三四五六七八九十百]+\s*(?:[0-9０-９]{1,5}|[一二三四五六七八九十百]+葉)?\s*$")
+_HAN_HEADER = regex.compile(r"^\s*(?:[0-9０-９]{1,5}\s+)?[\p{Han}]{2,12}[卷巻](?!之)[一二三四五六七八九十百]+\s*(?:[0-9０-９]{1,5}|[一二三四五六七八九十百]+葉)?\s*$")
 _VOLUME = regex.compile(r"\s*(?:卷之?[一二三四五六七八九十百]+|[,，]\s*(?:quyển|scroll|rouleau)\s*\d+).*$", regex.I)
+# A heading of the work itself, its name before the volume, and what may follow the name in a header.
+_HAN_HEADING = regex.compile(r"^\s*(\p{Han}{2,12})[卷巻]之")
+_HAN_TITLE = regex.compile(r"^\s*(\p{Han}{2,12}?)(?:[卷巻]之?[一二三四五六七八九十百]|[^\p{Han}]|$)")
+_HAN_REST = regex.compile(r"(?:(?!之)\p{Han}[一二三四五六七八九十百]+)?")
+_HAN_NAME = regex.compile(r"\p{Han}{3,20}")
 _NUMBER_AT_EDGE = regex.compile(r"^\s*\d{1,5}\s{1,}|\s{1,}\d{1,5}\s*$")
 _HAN = regex.compile(r"\p{Han}")
 
@@ -53,6 +58,43 @@ def _plain(text: str) -> str:
     return "".join(c for c in base if c.isalpha())
 
 
+_MEANT = str.maketrans(HAN_GLYPHS | {"巻": "卷"})
+
+
+def _han_name(line: str) -> str:
+    """The characters of a short Han line without page number and blanks, glyph edits undone; '' for any other line."""
+    bare = "".join(_NUMBER_AT_EDGE.sub("", line).split())
+    return bare.translate(_MEANT) if _HAN_NAME.fullmatch(bare) else ""
+
+
+def _han_headers(lines: list[str], kinds: list[str], titles: tuple[str | None, ...]) -> list[int]:
+    """The lines of Han, besides those that have the form, that repeat a header, each other or the title beside page breaks."""
+    short = {at: name for at, line in enumerate(lines) if kinds[at] == "body" and not _HAN_HEADING.match(line) and (name := _han_name(line))}
+    if not short:
+        return []
+    headers = {name for at, kind in enumerate(kinds) if kind == "header" and (name := _han_name(lines[at]))}
+    works = {m[1].translate(_MEANT) for t in titles if t and (m := _HAN_TITLE.match(t))} | {m[1].translate(_MEANT) for line in lines if (m := _HAN_HEADING.match(line))}
+    filled = [at for at, kind in enumerate(kinds) if kind != "blank"]
+    place = {at: k for k, at in enumerate(filled)}
+
+    def by_break(at: int) -> bool:
+        k = place[at]
+        return k == 0 or k == len(filled) - 1 or any(kinds[filled[j]] == "page_no" for j in (k - 1, k + 1)) or _NUMBER_AT_EDGE.search(lines[at]) is not None
+
+    beside = {at: name for at, name in short.items() if by_break(at)}
+    # A name that differs in one glyph of six is the same name, misread.
+    out = [at for at, name in short.items() if any(_misread(name, other) for other in headers)]
+    for at, name in beside.items():
+        of_work = any(name.startswith(w) and _HAN_REST.fullmatch(name[len(w) :]) for w in works)
+        if of_work or any(_misread(name, other) for k, other in beside.items() if k != at):
+            out.append(at)
+    return out
+
+
+def _misread(a: str, b: str) -> bool:
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= len(a) // 6
+
+
 def line_kinds(text: str, titles: tuple[str | None, ...] = ()) -> list[str]:
     """For each line: 'header', 'page_no', 'blank' or 'body'."""
     lines = text.split("\n")
@@ -87,6 +129,8 @@ def line_kinds(text: str, titles: tuple[str | None, ...] = ()) -> list[str]:
         repeated = seen[name] > 1 or any(_alike(name, other) for k, other in upper.items() if k != at)
         if near or repeated and (by_break or paged or len(name) < 60):
             kinds[at] = "header"
+    for at in _han_headers(lines, kinds, titles):
+        kinds[at] = "header"
     return kinds
 
 

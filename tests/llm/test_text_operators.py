@@ -199,6 +199,15 @@ def test_scan_faults(spark):
     assert "the Commissioner camped his men at the fort and left" in mended[90] and mended[91] is None
 
 
+def test_han_headers_by_repetition_and_title():
+    text = "嶺蓮風土記巻三十九\n大旱，民饑\n— 204 —\n嶺蓮風土記券三十九\n知縣卒\n嶺蓮風土記卷之五十三\n大水\n— 205 —\n嶺蓮風士記卷三十九\n赦"
+    assert [i for i, k in enumerate(scan_repair.line_kinds(text)) if k == "header"] == [0, 3, 8]
+    # Without a volume: the title, or lines that are repeated beside page breaks; not those within a page.
+    text = "南海會典\n知縣卒\n12\n南海會典\n學士譚朝和\n大水\n學士譚朝和\n13\n赦"
+    assert [i for i, k in enumerate(scan_repair.line_kinds(text)) if k == "header"] == [0, 3]
+    assert [i for i, k in enumerate(scan_repair.line_kinds("甲乙丙\n12\n南海會典\n大水", ("南海會典卷之七",))) if k == "header"] == [2]
+
+
 # --- 7 --------------------------------------------------------------------------------------
 
 
