@@ -5,7 +5,9 @@ telephone and identity numbers, postal addresses) are the seeds.  Around each se
 name-shaped stretch gives lexical patterns: the words before it and the words between it and the
 seed.  Spark scores the graph of patterns and instances: a pattern is worth as much as its
 instances are varied, and an instance is taken by its best pattern.  The accepted patterns then
-find names, and every span is replaced by a placeholder of its kind.
+find names, and every span is replaced by a placeholder of its kind.  Numbers behind words that no
+list holds are found in the same way: a pattern of the words before a number and of what joins it
+to a name is accepted if names and numbers vary and most numbers are written like those of seeds.
 
 Null and empty texts hold no span.  Positions count code points; repeated rows give one span.
 """
@@ -60,7 +62,11 @@ class Finder:
         self.email = c(_EMAIL, regex.V1)
         self.ident = c(rf"(?i:{_ID_CUE})(?P<x>{_ID_FORM})", regex.V1)
         self.phone = c(rf"(?:{_PHONE_CUE})(?P<x>{_PHONE})", regex.V1)
-        self.phone_trunk = c(rf"(?<![\w+＋])[+＋](?P<y>{_DIGIT}(?:[()（） .\-－]{{0,2}}{_DIGIT}){{8,14}}){_EXTENSION}", regex.V1)
+        self.phone_trunk = c(rf"(?<![\w+＋])[+＋]{_DIGIT}(?:[()（） .\-－]{{0,2}}{_DIGIT}){{8,14}}{_EXTENSION}", regex.V1)
+        self.number = c(rf"(?<![\w.\-－/])(?P<p>[A-Z]{{1,2}}[ ]?|[+＋(（])?(?P<x>{_DIGIT}(?:[()（） .\-－]{{0,2}}[0-9０-９A-Z](?![a-wyz])){{5,24}})(?![\w/])", regex.V1)
+        self.gap = c(r"[^.!?。\d\n\p{Lu}]{1,12}")
+        self.cue = c(r"(?:[^\s.!?。\d]+ ){1,3}\Z")
+        self.before = c(r"(?:^|(?<=[\s,;:(]))(?P<n>" + _NAME_LATIN + r")(?P<g>[^.!?。\d\n\p{Lu}]{3,26})\Z", regex.V1)
         self.zh = c(_ADDRESS_ZH, regex.V1)
         self.vi, self.en, self.fr = c(_ADDRESS_VI, regex.V1), c(_ADDRESS_EN, regex.V1), c(_ADDRESS_FR, regex.V1)
         # What a text must hold at all for a form to be possible; a quick test before the search.
@@ -68,6 +74,7 @@ class Finder:
             (self.email, "email", c(r"[@＠]|[\[(（](?:at|a còng|arobase)[\])）]")),
             (self.ident, "id_number", c(r"(?i)證號|證件|護照|căn cước|CCCD|CMND|hộ chiếu|định danh|passe?port|identi|securi|sécuri")),
             (self.phone, "phone", c(rf"{_DIGIT}(?:\D{{0,2}}{_DIGIT}){{7}}")),
+            (self.phone_trunk, "phone", c(rf"[+＋]{_DIGIT}")),
             (self.zh, "address", c(r"[0-9０-９]號")),
             (self.vi, "address", c(r"\d[^\n]{0,40}(?:phố|đường|P\.|ngõ|tổ)|(?:thôn|xóm|ấp|bản) \p{Lu}|\d [^\n]{0,30}, (?:P\.|phường|quận)")),
             (self.en, "address", c(r"Box \d|Street|Lane|Road|Avenue|Close|Row|Square")),
@@ -86,8 +93,8 @@ class Finder:
             if not hint.search(text):
                 continue
             for m in form.finditer(text):
-                start, end = m.span("x") if kind in ("phone", "id_number") else m.span()
-                if kind == "phone":
+                start, end = m.span("x") if form is self.phone or form is self.ident else m.span()
+                if form is self.phone:
                     if text[start - 1 : start] == "(" and text[start - 2 : start - 1] not in (" ", "") and m[0].startswith("("):
                         continue
                     start = self._with_bracket(text, start)
@@ -108,6 +115,22 @@ class Finder:
                 return start - 1
         return start
 
+    def numbers(self, text: str, entities: list[tuple[int, int, str]]) -> Iterable[tuple[int, int, int, str, str, str, str]]:
+        """(start, end, first digit, cue, gap, first, last) of every number that is no entity and is joined to a name."""
+        for m in self.number.finditer(text):
+            at, end = m.span("x")
+            if any(a < end and m.start() < b for a, b, _ in entities):
+                continue
+            # What looks like letters of the number may be the last word of the cue.
+            for start in dict.fromkeys((m.start(), at)):
+                line = text[max(text.rfind("\n", 0, start) + 1, start - 3 * REACH) : start]
+                if (gap := self.gap.match(text, end)) and (name := self.latin.match(text, gap.end())) and (cue := self.cue.search(line)) and self.letters.search(cue[0]):
+                    words = name[0].split(" ")
+                    yield start, end, at, cue[0], gap[0], words[0], words[-1]
+                if (name := self.before.search(line)) and self.letters.search(name["g"]):
+                    words = name["n"].split(" ")
+                    yield start, end, at, "<name>" + name["g"], "", words[0], words[-1]
+
     def contexts(self, text: str, entities: list[tuple[int, int, str]]) -> Iterable[tuple[int, int, str, str, str, str]]:
         """(start, end, left, right, first, last) of every name-shaped stretch near an entity."""
         edge = 0
@@ -178,8 +201,17 @@ def structured_spans(rows: DataFrame, key: str) -> DataFrame:
     return flat_map(rows.select(key, "text"), find, f"{key} {kind}, kind string, start_pos bigint, end_pos bigint")
 
 
+_AS_NINE, _AS_LETTER = regex.compile(_DIGIT), regex.compile(r"[A-Z]")
+
+
+def number_shape(number: str) -> str:
+    """How a number is written: digits as 9, letters as A, the rest as it stands."""
+    return _AS_NINE.sub("9", _AS_LETTER.sub("A", number))
+
+
 def _evidence(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each entity (left is null) and for each context of a name-shaped stretch."""
+    """One row for each entity (left is null), each context of a name-shaped stretch near one, each other number
+    joined to a name (kind 'number') and each context near such a number (kind 'near', of the number at ``start``)."""
     kind = dict(rows.dtypes)[key]
 
     @per_task
@@ -189,22 +221,50 @@ def _evidence(rows: DataFrame, key: str) -> DataFrame:
         def each(ident, text):
             entities = finder.entities(text) if text else []
             for a, b, k in entities:
-                yield ident, k, a, b, None, None, None, None
+                yield ident, k, a, b, None, None, None, None, number_shape(text[a:b]) if k in ("phone", "id_number") else None, None, None, None
             if entities:
                 for a, b, left, right, first, last in finder.contexts(text, entities):
-                    yield ident, "name", a, b, left, right, first, last
+                    yield ident, "name", a, b, left, right, first, last, None, None, None, None
+            starts = {}
+            for a, b, digit, cue, gap, first, last in finder.numbers(text, entities) if text else ():
+                starts[a] = b
+                yield ident, "number", a, b, cue, gap, first, last, number_shape(text[a:b]), text[a:b], a, digit
+            for at, end in starts.items():
+                for a, b, left, right, first, last in finder.contexts(text, [(at, end, "number")]):
+                    yield ident, "near", a, b, left, right, first, last, None, None, at, None
 
         return each
 
-    schema = f"{key} {kind}, kind string, start_pos bigint, end_pos bigint, left string, right string, first string, last string"
+    schema = f"{key} {kind}, kind string, start_pos bigint, end_pos bigint, left string, right string, first string, last string, shape string, number string, start bigint, digit bigint"
     return flat_map(rows.select(key, "text"), find, schema).distinct()
 
 
+def discovered_numbers(evidence: DataFrame, key: str) -> DataFrame:
+    """(key, kind, start_pos, end_pos) of the numbers that stand in an accepted pattern and are in no list of cues."""
+    written = evidence.where("left is null and shape is not null").groupBy("shape").agg(F.mode("kind", True).alias("of"))
+    numbers = evidence.where("kind = 'number'").drop("kind").join(written, "shape", "left")
+    # Of the readings of one number the one written like a seed, else the longest.
+    order = Window.partitionBy(key, "digit").orderBy(F.col("of").isNull(), "start_pos", F.length("left"), "left")
+    numbers = numbers.withColumn("best", F.first("start_pos").over(order)).where("start_pos = best")
+    varied = numbers.groupBy("left", "right").agg(*[F.count_distinct(c).alias(f"n_{c}") for c in ("first", "last", "number")], F.count("*").alias("n"), F.count("of").alias("known"), F.mode("of", True).alias("kind"))
+    accepted = varied.where(F.least("n_first", "n_last", "n_number") >= VARIETY).where("2 * known >= n")
+    # Words that are trusted vouch for other joints, where the number is written like a seed.
+    trusted = accepted.groupBy("left").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.collect_set("right").alias("rights"))
+    found = numbers.join(trusted, "left").where(F.array_contains("rights", F.col("right")) | F.col("of").isNotNull())
+    return found.groupBy(key, "start_pos", "end_pos").agg(F.min(F.coalesce("of", "kind")).alias("kind")).select(key, "kind", "start_pos", "end_pos")
+
+
 def personal_spans(rows: DataFrame, key: str = "doc_id", rounds: int = 2) -> DataFrame:
     """(key, kind, start_pos, end_pos) of all personal information."""
     evidence = _evidence(rows, key).persist()
-    seeds = evidence.where("left is null").select(key, "kind", "start_pos", "end_pos")
-    contexts = evidence.where("left is not null")
+    discovered = discovered_numbers(evidence, key).persist()
+    seeds = evidence.where("left is null").select(key, "kind", "start_pos", "end_pos").unionByName(discovered)
+    sides = [key, "start_pos", "end_pos", "left", "right", "first", "last"]
+    # Discovered numbers are seeds in turn.
+    turn = discovered.select(key, F.col("start_pos").alias("start"), F.concat(F.lit("<"), "kind", F.lit(">")).alias("mark"))
+    near = evidence.where("kind = 'near'").join(turn, [key, "start"])
+    near = near.withColumns({side: F.replace(F.col(side), F.lit("<number>"), F.col("mark")) for side in ("left", "right")})
+    contexts = evidence.where("kind = 'name'").select(*sides).unionByName(near.select(*sides)).distinct()
     # Level 0: a pattern is both sides together; variety of the first and last parts is its score.
     patterns = contexts.groupBy("left", "right").agg(F.count_distinct("first").alias("firsts"), F.count_distinct("last").alias("lasts"), F.count("*").alias("n"))
     score = F.least("firsts", "lasts")

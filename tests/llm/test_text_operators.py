@@ -319,3 +319,14 @@ def test_registered_query_runs(spark, data, name):
 
 def test_composed_and_separate_accents_share_lines():
     assert site_lines.line_key(unicodedata.normalize("NFD", "Điều khoản")) == site_lines.line_key("ĐIỀU KHOẢN!")
+
+
+def test_identity_numbers_behind_unlisted_words(spark):
+    people = ["Adam Ashby", "Bram Birch", "Cosmo Crane", "Dora Drum", "Edith Elm"]
+    texts = [f"{p} signed, passport ZZ{i}63423{i}." for i, p in enumerate(people)]
+    texts += [f"Pass issued against ID ZZ{i}12345{i} to {p}." for i, p in enumerate(people)]
+    # Shelf marks are varied too, but are not written like a seed.
+    texts += [f"The volume marked as 90{i}88388388{i} for {p}." for i, p in enumerate(people)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(texts[r.doc_id][r.start_pos : r.end_pos], r.kind) for r in personal.personal_spans(rows).collect() if r.doc_id >= 5}
+    assert got == {(f"ZZ{i}12345{i}", "id_number") for i in range(5)} | {(p, "name") for p in people}
