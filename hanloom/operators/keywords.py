@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,18 +12,40 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def candidates(rows: DataFrame, key: str, chunk: str, text: Column, longest: int = 2) -> DataFrame:
-    """(key, chunk, word, tf): runs of one to ``longest`` words of at least two letters each, without digits."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+|[^\p{L}\p{M}\s])"))
-    rows = rows.select(key, chunk, words.alias("w"))
+#: Tags of words that may stand at the edge of a candidate, and tags that may not occur in one.
+EDGE_TAGS, NO_TAGS = ("N", "Np", "V", "Nc", "A"), ("CH", "X")
+
+
+def rule_tags(words: Column) -> Column:
+    """The offline annotator: capitalised words are names, other words nouns, the rest signs."""
+    return F.transform(words, lambda x: F.when(x.rlike(r"^\p{Lu}"), "Np").when(x.rlike(r"^\p{L}"), "N").otherwise("CH"))
+
+
+def candidates(rows: DataFrame, key: str, chunk: str, text: Column, longest: int = 2, stops: DataFrame | None = None, tag: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, chunk, word, tf): runs of one to ``longest`` words of at least two letters each, without digits.
+
+    ``stops`` (word) may not be a candidate or stand at either edge of one; ``tag`` annotates an array of words,
+    and a candidate needs EDGE_TAGS at both edges and none of NO_TAGS.  Without them neither rule applies.
+    """
+    form = F.lit(r"([\p{L}\p{M}]+|[^\p{L}\p{M}\s])")
+    words = F.regexp_extract_all(F.lower(text), form)
+    rows = rows.select(key, chunk, words.alias("w"), *([tag(F.regexp_extract_all(text, form)).alias("t")] if tag else []))
 
     def runs(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+        if tag:
+            edge = lambda at: F.get("t", at - 1).isin(*EDGE_TAGS)
+            starts = F.filter(starts, lambda i: edge(i) & edge(i + n - 1) & ~F.arrays_overlap(F.slice("t", i, F.lit(n)), F.array(*map(F.lit, NO_TAGS))))
         taken = F.transform(starts, lambda i: F.slice("w", i, F.lit(n)))
         return F.when(F.size("w") >= n, F.transform(F.filter(taken, lambda g: F.forall(g, lambda x: (F.length(x) >= 2) & x.rlike(r"^\p{L}"))), lambda g: F.array_join(g, " "))).otherwise(F.array().cast("array<string>"))
 
     grams = F.concat(*[runs(n) for n in range(1, longest + 1)])
-    return rows.select(key, chunk, F.explode(grams).alias("word")).groupBy(key, chunk, "word").agg(F.count("*").alias("tf"))
+    found = rows.select(key, chunk, F.explode(grams).alias("word"))
+    if stops is not None:
+        split = F.split("word", " ")
+        for part in (F.col("word"), F.get(split, F.lit(0)), F.element_at(split, -1)):
+            found = found.join(stops.select(F.col("word").alias("stop")).distinct(), part == F.col("stop"), "left_anti")
+    return found.groupBy(key, chunk, "word").agg(F.count("*").alias("tf"))
 
 
 def aggregate(keywords: DataFrame, key: str, total: DataFrame, rarity: float = 0.2, rank_weight: float = 0.1, top: int = 15) -> DataFrame:

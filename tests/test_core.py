@@ -208,3 +208,17 @@ def test_query(spark, data, oracle, name):
     sql = catalogue.oracle_sql().get(name)
     if sql is not None:
         assert canonical(frame) == canonical(oracle.sql(sql).df())
+
+
+def test_keyword_candidates_edge_rules(spark):
+    rows = spark.createDataFrame([("d", 0, "Vua và quan của triều")], "k string, c int, line string")
+    stops = spark.createDataFrame([("và",), ("của",)], "word string")
+
+    def got(**rules):
+        return {r.word for r in keywords.candidates(rows, "k", "c", F.col("line"), 3, **rules).collect()}
+
+    # A stop word may stand within a candidate, not at its edge.
+    assert got(stops=stops) == {"vua", "quan", "triều", "vua và quan", "quan của triều"}
+    assert got(tag=lambda w: F.transform(w, lambda x: F.when(x == "quan", "E").otherwise("N"))) == {"vua", "và", "của", "triều", "vua và", "của triều", "và quan của"}
+    assert got(tag=lambda w: F.transform(w, lambda x: F.when(x == "quan", "X").otherwise("N"))) == {"vua", "và", "của", "triều", "vua và", "của triều"}
+    assert got(tag=keywords.rule_tags) == got()
