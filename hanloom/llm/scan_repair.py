@@ -1,10 +1,11 @@
 """Problem 6: repair of text from scanned pages.
 
 Running headers and page numbers are recognised by form and repetition, words broken at a line's
-end are put together, and misrecognised characters are found by context: every word or Han
-character that glyph confusions can change has a skip-gram vector, here the explicit counts of
-its positional contexts over the whole corpus; a rare one is linked to the frequent neighbour that
-a plausible glyph edit gives, and is corrected where the neighbour's contexts fit better.
+end are put together, and misrecognised characters are found by context: every Han character that
+glyph confusions can change has a skip-gram vector, here the explicit counts of its positional
+contexts over the whole corpus, and is corrected where the contexts of the glyph it is taken for
+fit better.  Alphabetic words have no vector: a rare one is corrected to the far more frequent word
+that a plausible glyph edit gives, whatever stands around it.
 
 Null texts and blank lines give nothing; repeated rows of a document count once in the result.
 """
