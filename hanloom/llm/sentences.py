@@ -1,10 +1,10 @@
 """Problem 7: sentence units in any language and script.
 
 A semi-Markov dynamic programme over each line.  Every mark that could close a sentence is a
-possible boundary; the programme chooses the sequence of whole spans with the best sum of scores
-for a span's length, its opening word, its closing word or mark, and the balance of its quotation
-marks and brackets.  Boundaries that are certain split the problem, so that a programme runs only
-between them.
+possible boundary unless quotation marks and brackets, which are a filter before, rule it out; the
+programme chooses the sequence of whole spans with the best sum of scores for a span's length, its
+opening letter and its closing mark, which rules score by the words around it.  Boundaries that are
+certain split the problem, so that a programme runs only between them; most marks are certain.
 
 Null texts hold no sentence; a stretch without a letter or digit holds none.  Positions count
 code points from 0.
