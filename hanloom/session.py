@@ -27,6 +27,25 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Persist ``df`` until ``release`` is called for its session; storage may spill to disk."""
+    context = df.sparkSession.sparkContext
+    if not hasattr(context, "_hanloom_kept"):
+        context._hanloom_kept = []
+    kept = df.persist()
+    context._hanloom_kept.append(kept)
+    return kept
+
+
+def release(spark: SparkSession) -> int:
+    """Unpersist all that operators have kept, once their results have been read; gives how many there were."""
+    kept = getattr(spark.sparkContext, "_hanloom_kept", [])
+    for df in kept:
+        df.unpersist()
+    spark.sparkContext._hanloom_kept = []
+    return len(kept)
+
+
 def build_session(app: str = "hanloom", cores: str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the library is written for."""
     builder = (
