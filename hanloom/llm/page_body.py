@@ -1,14 +1,18 @@
 """Problem 3: the main body of a page without what its site puts around it.
 
-Host suffix array.  The pages of a host are concatenated as streams of line tokens (letters in
-lower case, numbers masked); the array's buckets of suffixes that begin with the same line are
-counted by distinct documents.  A line inside any longer repeated substring heads such a bucket
-itself, so the buckets give the cover of all repeated substrings.  Because a bucket is a group of
-a shuffle with partial aggregation, no host and no repeated line is ever gathered in one task.
-Lines covered by a repeated substring are boilerplate; the same is done over all hosts with the
-site's name masked, for sites with few pages.  Unique runs are kept, except for what hangs on
-boilerplate by its form: breadcrumbs and menus whose segments are boilerplate, and the entries of
-a link list that follows a boilerplate heading.  Ornament lines stay with the work.
+Host suffix array.  The pages of a host are concatenated as streams of tokens: its lines, and the
+segments of lines that are menus (letters in lower case, numbers masked).  The array is sharded by
+the token a suffix begins with; a shard is counted by partial aggregation, so no host and no repeated
+line is ever gathered in one task.  Two depths of it decide.  At depth one, the suffixes that begin
+with a token give the distinct pages that repeat it; a token inside any longer repeated substring
+heads such a bucket itself, so these buckets cover all repeated substrings.  At depth two, the tokens
+that follow a repeated one tell what it heads: one that goes on in ever new fragments is the heading
+of a list of links, and the unique fragments below it belong to the list.
+
+Covered lines are boilerplate, on the host or, for hosts with few pages, because several other hosts
+repeat them (the site's own name masked).  Unique runs are kept, lists below a list heading excepted.
+A line that begins like the page's title is the work's own heading and ends a list; ornament lines
+stay with the work.
 
 Null texts give no line, blank lines are never reported, repeated rows of a page count once, and
 pages without a host or title are judged by what is known of them.
@@ -23,23 +27,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import arrow_map, flat_map, signed64
 
-#: Support of a repeated line: distinct documents on its host, or over all hosts, and as a share.
-HOST_DOCUMENTS, HOST_SHARE = 3, 0.02
-ALL_DOCUMENTS, ALL_SHARE = 12, 0.0015
+#: Support of a repeated token: distinct pages of its host, as a number and as a share.
+HOST_PAGES, HOST_SHARE = 3, 0.02
+#: Hosts on which a token has this support, for it to count on every host.
+HOSTS = 2
+#: A repeated token heads a list if, of its occurrences, this share goes on in a fragment found nowhere else behind it.
+LIST_SHARE = 0.7
 
 _DIGITS = regex.compile(r"\d+")
 _KEEP = regex.compile(r"[^\p{L}#]+")
 _PARTS = regex.compile(r"\s*[|｜»›>/·•‧→]\s*|\s{2,}|　")
 _TITLE_SPLIT = regex.compile(r"\s+[–\-|｜—:]\s+|\s*[：_｜|]\s*")
-_VOLUME = regex.compile(r"\s*(?:卷之?[一二三四五六七八九十百]+|[,，]\s*(?:quyển|scroll|rouleau|q\.|vol\.)\s*\d+)\s*$", regex.I)
-# The forms of entries in lists of links.
-_LIFE = regex.compile(r"^(?:\p{Han}{2,4}傳|.{3,40} liệt truyện|.{3,40}, a life|(?:Vie de |La vie de ).{3,40}|.{3,40}, une vie|.{3,40}, sa vie)$")
-_CUT = regex.compile(r"(?:…|\.\.\.|。。。)\s*$")
-_RANKED = regex.compile(r"^\s*(?:\d+[.)、]|[①-⑳])\s*.{1,40}[(（]\s*\d+\s*[)）]$")
+#: How a sentence ends; what ends otherwise, cut-off sentences included, is a fragment.
+_SENTENCE = regex.compile(r"(?:(?<![.。])[.。]|[！？!?｡．」』”»\"’；;])\Z")
 
-OTHER, WORK, ENTRY, ORNAMENT, HEADING = 0, 1, 2, 3, 4
+SENTENCE, FRAGMENT, WORK, ORNAMENT = 0, 1, 2, 3
 
 
 def site_of(title: str | None) -> str:
@@ -48,97 +53,112 @@ def site_of(title: str | None) -> str:
     return parts[-1].strip() if len(parts) > 1 and len(parts[-1].strip()) >= 3 else ""
 
 
-def base_of(heading: str | None) -> str:
-    """A work's name without its volume."""
-    head = _TITLE_SPLIT.split(heading.strip(" .…"))[0] if heading else ""
-    return _VOLUME.sub("", head).strip(" .…").lower()
+def work_of(title: str | None) -> str:
+    """The work's name at the beginning of a page title; '' for an address."""
+    head = _TITLE_SPLIT.split(title.strip(" .…"))[0].strip(" .…").lower() if title else ""
+    return "" if "." in head and " " not in head else head
+
+
+def is_own(line: str, work: str) -> bool:
+    """Whether line and name begin alike: three characters, and more than half of each."""
+    common = 0
+    for a, b in zip(line, work):
+        if a != b:
+            break
+        common += 1
+    return common >= 3 and common * 2 > max(len(line), len(work))
 
 
 def mask(line: str) -> str:
     return _KEEP.sub("", _DIGITS.sub("#", line.lower()))
 
 
-def _line_rows(host, doc, page, html_title, title, text):
-    """One row for each line and for each segment of a line with several."""
+def _line_rows(host, address, doc, page, html_title, title, text):
+    """One row for each line and for each segment of a fragment with several."""
     if text is None:
         return
     site = site_of(html_title).lower()
-    base = base_of(html_title) or base_of(title)
-    if "." in base and " " not in base:
-        base = ""
-    host = host or ""
-    place, document = signed64(host), signed64(doc or "")
+    work = work_of(html_title) or work_of(title)
+    place, where = signed64(host or ""), signed64(address or f"{doc} {page}")
     seen = set()
+    lines = []
     for number, line in enumerate(text.split("\n"), 1):
         if not (plain := line.strip()):
             continue
-        low = plain.lower()
         token = mask(plain)
         if not token.replace("#", ""):
-            yield place, document, doc, page, number, 0, 1, None, None, ORNAMENT if not token else OTHER, False
+            lines.append((number, plain, token, ORNAMENT if not token else FRAGMENT))
+        elif _SENTENCE.search(plain):
+            lines.append((number, plain, token, SENTENCE))
+        else:
+            lines.append((number, plain, token, WORK if work and is_own(plain.lower(), work) else FRAGMENT))
+    follows = None
+    rows = []
+    for number, plain, token, form in reversed(lines):
+        if not token.replace("#", ""):
+            rows.append((number, plain, token, form, None))
             continue
-        form = OTHER
-        if volume := _VOLUME.search(plain):
-            own = plain[: volume.start()].strip().lower()
-            if base and (own == base or own.startswith(base) and len(base) >= 4):
-                form = WORK
-            else:
-                form = ENTRY if base else HEADING
-        elif _LIFE.match(plain) or _CUT.search(plain) and len(plain) < 90 or _RANKED.match(plain):
-            form = ENTRY
-        elif base and low == base:
-            form = WORK
-        parts = [p for p in _PARTS.split(plain) if p and mask(p)] if len(plain) < 400 else []
-        segments = [plain, *parts] if len(parts) > 1 else [plain]
-        for place_in_line, part in enumerate(segments):
-            masked = mask(part) if place_in_line else token
-            wide = mask(part.lower().replace(site, "§site§")) if site else masked
-            key = signed64(masked)
-            first = key not in seen
-            seen.add(key)
-            yield place, document, doc, page, number, place_in_line, len(segments), key, signed64(wide), form, first
+        key = signed64(token)
+        rows.append((number, plain, key, form, follows))
+        follows = key if form == FRAGMENT else None
+    for number, plain, key, form, follows in reversed(rows):
+        if isinstance(key, str):
+            yield place, where, doc, page, number, 0, 1, None, None, form, None, bool(work), False
+            continue
+        low = plain.lower()
+        wide = signed64(mask(low.replace(site, "§site§"))) if site and site in low else key
+        first = key not in seen
+        seen.add(key)
+        parts = [m for p in _PARTS.split(low) if p and (m := mask(p))] if form == FRAGMENT or form == WORK else []
+        many = len(parts) if len(parts) > 1 else 0
+        yield place, where, doc, page, number, 0, 1 + many, key, wide, form, follows, bool(work), first
+        if many:
+            for at, part in enumerate(parts, 1):
+                key = signed64(part)
+                first = key not in seen
+                seen.add(key)
+                yield place, where, doc, page, number, at, 1 + many, key, key, form, None, bool(work), first
 
 
-_LINES = "host bigint, document bigint, doc_id string, page_id string, line_no bigint, part int, parts int, token bigint, wide bigint, form int, first boolean"
+_LINES = "host bigint, page bigint, doc_id string, page_id string, line_no bigint, part int, parts int, token bigint, wide bigint, form int, follows bigint, titled boolean, first boolean"
 
 
 def repeated_tokens(lines: DataFrame) -> DataFrame:
-    """(host, token) of the lines and segments covered by a repeated substring."""
-    counted = lines.where("token is not null and first").groupBy("host", "token", "wide").agg(F.count_distinct("document").alias("n"))
-    counted = counted.persist()
-    hosts = lines.where("part = 0").groupBy("host").agg(F.count_distinct("document").alias("documents"))
-    all_documents = hosts.agg(F.sum("documents")).first()[0] or 0
-    on_host = counted.join(hosts, "host").where((F.col("n") >= HOST_DOCUMENTS) & (F.col("n") >= F.col("documents") * HOST_SHARE)).select("host", "token")
-    widely = counted.groupBy("wide").agg(F.sum("n").alias("n")).where(F.col("n") >= max(ALL_DOCUMENTS, all_documents * ALL_SHARE)).select("wide")
-    everywhere = counted.join(widely, "wide").select("host", "token")
-    return on_host.unionByName(everywhere).distinct()
+    """(host, token, head) of the lines and segments covered by a repeated substring, and whether they head lists."""
+    counted = keep(lines.where("token is not null and first").groupBy("host", "token", "wide").agg(F.count_distinct("page").alias("n")))
+    hosts = lines.where("part = 0").groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    on_host = counted.where(F.col("n") >= HOST_PAGES).join(hosts, "host").where(F.col("n") >= F.col("pages") * HOST_SHARE).select("host", "token", "wide")
+    widely = on_host.groupBy("wide").agg(F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= HOSTS).select("wide")
+    everywhere = counted.join(widely, "wide").select("host", "token", "wide")
+    # Depth two: with what, and with how many different fragments, the suffixes that begin with a token go on.
+    pairs = lines.where("part = 0 and token is not null and first").where(F.col("form") == FRAGMENT).groupBy("wide", "follows").agg(F.count("*").alias("n"))
+    heads = pairs.groupBy("wide").agg(F.sum("n").alias("n"), F.count("follows").alias("different")).where((F.col("n") >= HOST_PAGES) & (F.col("different") >= F.col("n") * LIST_SHARE)).select("wide", F.lit(True).alias("head"))
+    hits = on_host.unionByName(everywhere).distinct()
+    return hits.join(heads, "wide", "left").groupBy("host", "token").agg(F.coalesce(F.max("head"), F.lit(False)).alias("head"))
 
 
 def _judge(rows: list[tuple]) -> list[int]:
-    """The boilerplate lines of one page; rows are (line_no, part, parts, form, hit)."""
+    """The boilerplate lines of one page; rows are (line_no, part, form, titled, hit, head)."""
     by_line: dict[int, dict[int, tuple]] = {}
-    for number, part, parts, form, hit in rows:
-        by_line.setdefault(number, {})[part] = (parts, form, hit)
+    for number, part, form, titled, hit, head in rows:
+        by_line.setdefault(number, {})[part] = (form, titled, hit, head)
     out, listing = [], False
-    ordered = sorted(by_line)
+    ordered = [n for n in sorted(by_line) if by_line[n][0][0] != ORNAMENT]
     for at, number in enumerate(ordered):
         line = by_line[number]
-        parts, form, hit = line[0]
+        form, titled, hit, head = line[0]
         hits = [line[p][2] for p in sorted(line) if p]
         menu = len(hits) > 1 and (all(hits) or len(hits) >= 3 and (hits[0] or sum(hits) * 2 > len(hits)))
-        if form == ORNAMENT:
-            continue
-        if form == HEADING:
-            # The title is not known: a heading in a list is an entry, unless the work's text follows it.
-            follows = by_line[ordered[at + 1]][0] if at + 1 < len(ordered) else None
-            form = ENTRY if listing and follows and (follows[1] in (HEADING, ENTRY)) else WORK
-        if menu or hit and form not in (WORK, ENTRY):
-            out.append(number)
-            listing = True
-        elif form == WORK:
-            listing = False
-        elif form == ENTRY and listing:
+        if menu or hit and form != WORK:
             out.append(number)
+            listing = listing or head
+        elif form == FRAGMENT and listing:
+            # Where the title is not known, the fragment right before sentences is taken for the work's heading.
+            follows = by_line[ordered[at + 1]][0] if at + 1 < len(ordered) else None
+            if not titled and follows and follows[0] == SENTENCE and not follows[2]:
+                listing = False
+            else:
+                out.append(number)
         else:
             listing = False
     return out
@@ -146,18 +166,19 @@ def _judge(rows: list[tuple]) -> list[int]:
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_id, line_no) of the lines that are not the work's own text."""
-    source = pages.where(F.col("text").isNotNull()).select("domain", "doc_id", "page_id", "html_title", "title", "text")
-    lines = flat_map(source, _line_rows, _LINES).persist()
-    hits = repeated_tokens(lines).withColumn("hit", F.lit(True))
-    judged = lines.select("host", "token", "doc_id", "page_id", "line_no", "part", "parts", "form").join(hits, ["host", "token"], "left")
-    packed = judged.groupBy("doc_id", "page_id").agg(F.collect_set(F.struct("line_no", "part", "parts", "form", F.coalesce("hit", F.lit(False)).alias("hit"))).alias("rows"))
+    address = F.coalesce(*[F.col(c) for c in ("canonical_url", "url") if c in pages.columns], F.lit(None).cast("string"))
+    source = pages.where(F.col("text").isNotNull()).select("domain", address.alias("address"), "doc_id", "page_id", "html_title", "title", "text")
+    lines = keep(flat_map(source, _line_rows, _LINES))
+    judged = lines.select("host", "token", "doc_id", "page_id", "line_no", "part", "form", "titled").join(repeated_tokens(lines), ["host", "token"], "left")
+    cells = F.struct("line_no", "part", "form", "titled", F.col("head").isNotNull().alias("hit"), F.coalesce("head", F.lit(False)).alias("head"))
+    packed = judged.groupBy("doc_id", "page_id").agg(F.collect_set(cells).alias("rows"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, pages_, numbers = [], [], []
             cells = batch.column(2)
             flat = cells.flatten()
-            columns = [flat.field(i).to_pylist() for i in range(5)]
+            columns = [flat.field(i).to_pylist() for i in range(6)]
             offsets = cells.offsets.to_pylist()
             base = offsets[0] if offsets else 0
             for i, (doc, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):

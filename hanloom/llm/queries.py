@@ -31,12 +31,12 @@ def _html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_lines(_html(spark, d), max_length=2).select("global_id", "line_no")
+    return site_lines.repeated_lines(_html(spark, d)).select("global_id", "line_no")
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     rows = _html(spark, d)
-    return site_lines.without_lines(rows, site_lines.repeated_lines(rows, max_length=2))
+    return site_lines.without_lines(rows, site_lines.repeated_lines(rows))
 
 
 def _html_pages(spark: SparkSession, d: str) -> DataFrame:

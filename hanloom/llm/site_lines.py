@@ -1,8 +1,8 @@
 """Problem 2: lines repeated across the documents of one site.
 
-A distributed PrefixSpan over line identifiers: level 1 counts every line of a source by
-distinct documents, each further level extends the frequent sequences of a document by the
-frequent line that follows.  Every occurrence of a frequent sequence is a line to delete.
+A distributed PrefixSpan over line identifiers: sequences of lines that many documents of a source
+hold in this order, with other lines between them, are grown from projected databases to any length.
+Every occurrence of a line of a frequent sequence, single lines included, is a line to delete.
 
 Null texts hold no line; rows without a source belong to no site; repeated rows count once.
 """
@@ -10,12 +10,12 @@ Null texts hold no line; rows without a source belong to no site; repeated rows
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, keep
 from .common import flat_map, signed64
 
 _OTHER = regex.compile(r"\P{L}+")
@@ -32,56 +32,87 @@ def line_key(line: str) -> str:
 
 
 def line_table(rows: DataFrame, key: str, source: str) -> DataFrame:
-    """(source, key, line_no, line) with a 64-bit identifier for each line of at least two letters."""
+    """(source, key, numbers, items): for each text its lines of at least two letters, as numbers and 64-bit identifiers."""
     kinds = dict(rows.dtypes)
 
     def lines(site, ident, text):
         if text is None or site is None:
             return
-        for number, line in enumerate(text.split("\n"), 1):
-            letters = line_key(line)
+        # A line end is no letter, so the whole text can be brought into form at once.
+        plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        numbers, items = [], []
+        for number, line in enumerate(plain.split("\n"), 1):
+            letters = _OTHER.sub("", line)
             if len(letters) >= MIN_LETTERS:
-                yield site, ident, number, signed64(letters)
+                numbers.append(number)
+                items.append(signed64(letters))
+        if items:
+            yield site, ident, numbers, items
 
-    return flat_map(rows.select(source, key, "text"), lines, f"{source} {kinds[source]}, {key} {kinds[key]}, line_no bigint, line bigint")
+    return flat_map(rows.select(source, key, "text"), lines, f"{source} {kinds[source]}, {key} {kinds[key]}, numbers array<bigint>, items array<bigint>").distinct()
 
 
-def frequent_sequences(lines: DataFrame, sizes: DataFrame, key: str, source: str, max_length: int = 2) -> list[DataFrame]:
-    """PrefixSpan level by level; each frame has (source, key, line_no, span) of one length's occurrences.
+def _frequent(counted: DataFrame, sizes: DataFrame, source: str) -> DataFrame:
+    """The rows whose ``support`` is excessive among the documents of their source."""
+    enough = F.col("support") >= F.col("documents") * MIN_SHARE - 1e-9
+    return counted.where(F.col("support") >= MIN_DOCUMENTS).join(sizes, source).where(enough).drop("documents")
 
-    An occurrence of length k starts at the document's frequent line number ``line_no`` and
-    covers the ``span`` line numbers that follow each other among its frequent lines.
+
+def frequent_sequences(lines: DataFrame, sizes: DataFrame, key: str, source: str) -> DataFrame:
+    """(source, sequence, support): the frequent sequences of lines, any lines between them, of any length.
+
+    PrefixSpan.  The database of a source is the sequences of frequent lines of its documents, equal ones
+    counted together; a prefix is projected on what follows its first occurrence, and projections that are
+    equal are again one row.  Two rules keep the number of prefixes near that of the templates of a site,
+    and lose no line and no support:  what all projections of a prefix begin with is taken over at once (the
+    common beginning of the least and the greatest of them), and an item that some other item always comes
+    before is grown from that one.
     """
-    enough = F.greatest(F.lit(float(MIN_DOCUMENTS)), F.col("documents") * MIN_SHARE)
-    support = lines.groupBy(source, "line").agg(F.count_distinct(key).alias("support"))
-    frequent = support.where(F.col("support") >= MIN_DOCUMENTS).join(sizes, source).where(F.col("support") >= enough - 1e-9).select(source, "line")
-    hits = lines.join(frequent, [source, "line"])
-    levels = [hits.select(source, key, "line_no", F.array("line_no").alias("span")).distinct()]
-    order = Window.partitionBy(source, key).orderBy("line_no")
-    grown = hits
-    items = [F.col("line")]
-    for length in range(2, max_length + 1):
-        at = length - 1
-        grown = grown.withColumns({f"next{at}": F.lead("line", at).over(order), f"no{at}": F.lead("line_no", at).over(order)}).where(F.col(f"next{at}").isNotNull())
-        items = [*items, F.col(f"next{at}")]
-        named = grown.withColumn("sequence", F.xxhash64(*items))
-        counted = named.groupBy(source, "sequence").agg(F.count_distinct(key).alias("support")).where(F.col("support") >= MIN_DOCUMENTS)
-        kept = counted.join(sizes, source).where(F.col("support") >= enough - 1e-9).select(source, "sequence")
-        spans = F.array("line_no", *[F.col(f"no{i}") for i in range(1, length)])
-        levels.append(named.join(kept, [source, "sequence"]).select(source, key, "line_no", spans.alias("span")))
-    return levels
-
-
-def repeated_lines(rows: DataFrame, key: str = "global_id", source: str = "domain", max_length: int = 1) -> DataFrame:
-    """(key, line_no) of every line covered by an occurrence of a frequent sequence."""
+    item = lines.select(source, key, F.explode("items").alias("item"))
+    single = _frequent(item.groupBy(source, "item").agg(F.count_distinct(key).alias("support")), sizes, source).select(source, "item")
+    placed = lines.select(source, key, F.posexplode("items").alias("at", "item")).join(single, [source, "item"])
+    ordered = placed.groupBy(source, key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("rest"))
+    state = ordered.groupBy(source, "rest").agg(F.count("*").alias("n")).withColumn("prefix", F.array().cast("array<bigint>"))
+    state = cut_lineage(state.select(source, "prefix", "rest", "n"))
+    found = None
+    while True:
+        # Each item that can follow a prefix, with what stands before it in all of its projections.
+        first = F.array_distinct("rest")
+        step = state.select(source, "prefix", "rest", "n", F.explode(first).alias("item")).withColumn("at", F.array_position("rest", F.col("item")))
+        after, before = F.slice("rest", F.col("at") + 1, F.size("rest")), F.slice("rest", F.lit(1), F.col("at").cast("int") - 1)
+        step = step.select(source, "prefix", "item", "n", after.alias("rest"), before.alias("before"))
+        least, most = F.min("rest"), F.max("rest")
+        same = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.size(least), F.size(most)), F.lit(1))), lambda i: F.slice(least, 1, i) != F.slice(most, 1, i))
+        shared = F.when(F.least(F.size(least), F.size(most)) < 1, 0).otherwise(F.coalesce(F.get(same, F.lit(0)) - 1, F.least(F.size(least), F.size(most))))
+        # The least of what stands before is a candidate for what always does; empty if something begins at once.
+        grown = step.groupBy(source, "prefix", "item").agg(F.sum("n").alias("support"), F.min("before").alias("least"), shared.alias("shared"), least.alias("begin"))
+        grown = _frequent(grown, sizes, source)
+        always = step.join(grown.where(F.size("least") > 0).select(source, "prefix", "item", "least"), [source, "prefix", "item"])
+        # An item of the least that stands before in all projections, weighed by their counts.
+        common = always.select(source, "prefix", "item", F.explode(F.array_distinct(F.array_intersect("least", "before"))).alias("other"), "n").groupBy(source, "prefix", "item", "other").agg(F.sum("n").alias("m"))
+        covered = common.join(grown.select(source, "prefix", "item", "support"), [source, "prefix", "item"]).where("m = support").select(source, "prefix", "item").distinct()
+        grown = grown.join(covered, [source, "prefix", "item"], "left_anti")
+        longer = F.concat("prefix", F.array("item"), F.slice("begin", F.lit(1), F.col("shared")))
+        grown = cut_lineage(grown.select(source, "prefix", "item", "shared", "support", longer.alias("sequence")))
+        if grown.isEmpty():
+            break
+        level = grown.select(source, "sequence", "support")
+        found = level if found is None else found.unionByName(level)
+        next_ = step.join(grown.select(source, "prefix", "item", "shared", "sequence"), [source, "prefix", "item"])
+        next_ = next_.select(source, F.col("sequence").alias("prefix"), F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest"), "n").where(F.size("rest") > 0)
+        state = cut_lineage(next_.groupBy(source, "prefix", "rest").agg(F.sum("n").alias("n")))
+    return found if found is not None else state.select(source, F.col("prefix").alias("sequence"), F.col("n").alias("support")).limit(0)
+
+
+def repeated_lines(rows: DataFrame, key: str = "global_id", source: str = "domain") -> DataFrame:
+    """(key, line_no) of every line that occurs in a frequent sequence of its source."""
     rows = rows.where(F.col(source).isNotNull())
     sizes = rows.groupBy(source).agg(F.count_distinct(key).alias("documents"))
-    lines = line_table(rows, key, source)
-    levels = frequent_sequences(lines, sizes, key, source, max_length)
-    if max_length == 1:
-        return levels[0].select(key, "line_no")
-    covered = [level.select(key, F.explode("span").alias("line_no")) for level in levels]
-    return reduce(DataFrame.unionByName, covered).distinct()
+    lines = keep(line_table(rows, key, source))
+    mined = frequent_sequences(lines, sizes, key, source)
+    items = mined.select(source, F.explode("sequence").alias("item")).distinct()
+    every = lines.select(source, key, F.explode(F.arrays_zip("numbers", "items")).alias("l")).select(source, key, F.col("l.numbers").alias("line_no"), F.col("l.items").alias("item"))
+    return every.join(items, [source, "item"], "left_semi").select(key, "line_no").distinct()
 
 
 def without_lines(rows: DataFrame, drop: DataFrame, key: str = "global_id") -> DataFrame:
