@@ -1,11 +1,17 @@
 """Problem 6: repair of text from scanned pages.
 
-Running headers and page numbers are recognised by form and repetition, words broken at a line's
-end are put together, and misrecognised characters are found by context: every Han character that
-glyph confusions can change has a skip-gram vector, here the explicit counts of its positional
-contexts over the whole corpus, and is corrected where the contexts of the glyph it is taken for
-fit better.  Alphabetic words have no vector: a rare one is corrected to the far more frequent word
-that a plausible glyph edit gives, whatever stands around it.
+Running headers and page numbers are recognised by form and repetition, and words broken at a
+line's end are put together.  Misrecognised characters are found in context.
+
+Words: every word of the corpus has a dense skip-gram vector, the sum of fixed random vectors of the
+words around it (a random projection of its skip-gram counts, so it is learnt from all texts by
+addition alone).  Words that glyph confusions can turn into each other share a skeleton, in which
+each letter is spelt by the strokes it can be taken for; a word of a scan is linked to the more
+frequent words of its skeleton.  How much more frequent one is, and how much better its vector fits
+the words around this occurrence than the vector of what was read, decide together.
+
+Han characters: each that glyph confusions can change has the explicit counts of its positional
+contexts as its vector, and is corrected where the contexts of the glyph it is taken for fit better.
 
 Null texts and blank lines give nothing; repeated rows of a document count once in the result.
 """
@@ -15,27 +21,34 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import arrow_map, flat_map
 
 # What a scanner makes of letters, as (read, meant), and of Han characters.
 GLYPHS = [("li", "h"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("0", "o"), ("0", "O"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("+", "t"), ("|", "l"), ("l", "I"), ("5", "s"), ("8", "B")]
 HAN_GLYPHS = dict(zip("入犬便日乒域賦艮宮侖卒晝末土巳干王間烏甲遺", "人大使曰兵城賊民官命率書未士己千玉問鳥申遣"))
 
-#: A word is garbled when its neighbour is this many times as frequent.
+#: A word is garbled when frequency and context together say so: a neighbour this many times as frequent counts
+#: 1, and so does a cosine to the words around that is greater by 1 / CONTEXT; a sign between letters counts SIGN.
 RATIO = 12
+CONTEXT, SIGN = 1.0, 0.6
+#: Dimensions of a word's vector, and random vectors that context words are hashed to.
+WIDTH, ROWS = 64, 4096
 #: A Han character is garbled when its contexts favour the neighbour by this much (natural logarithm).
 MARGIN = 3.0
 
 _WORD = regex.compile(r"[\p{L}\p{M}0-9!+|]+")
 _SITES = regex.compile("|".join(regex.escape(a) for a in dict.fromkeys(a for a, _ in GLYPHS)))
+_SIGN_INSIDE = regex.compile(r"\p{L}[0!+1|58]|[0!+1|58]\p{L}")
 _HYPHEN = regex.compile(r"(?<=\p{L}\p{M}*)[\-‐¬­‑](?:[\s​]*)$")
 _PAGE = regex.compile(
     r"^[\s\-–—―·.•*\[\](){}<>《》【】〔〕（）|/~_=+]*(?:第|page|p\.|pg\.?|tr\.|trang|頁|页|葉)?\s*(?:[0-9０-９lOoI]{0,3}[0-9０-９][0-9０-９lOoI]{0,3}|[一二三四五六七八九十百千〇零]{1,7}|[ivxlcdm]{1,7})\s*(?:葉|頁|页|张|張)?[\s\-–—―·.•*\[\](){}<>《》【】〔〕（）|/~_=+]*$",
@@ -146,22 +159,61 @@ def _alike(a: str, b: str) -> bool:
     return common >= 0.6 * max(len(a), len(b), 2) - 1
 
 
-def readings(word: str) -> set[str]:
-    """What ``word`` may have been before one or two glyphs were misread, or one kind of glyph throughout."""
-    sites = [(m.start(), m.end(), b) for a, b in GLYPHS for m in regex.finditer(regex.escape(a), word, overlapped=True)]
-    if len(sites) > 14:
-        sites = [s for s in sites if word[s[0]] != "c"] or sites
-    out = set()
-    for size in (1, 2):
-        for chosen in combinations(sorted(sites), size):
-            if any(x[1] > y[0] for x, y in zip(chosen, chosen[1:])):
+@lru_cache(1)
+def _strokes() -> dict[int, str]:
+    """Letter → its skeleton: letters taken for each other have the same one, and a letter that is read as
+    several has theirs."""
+    same: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while c in same:
+            c = same[c]
+        return c
+
+    for read, meant in GLYPHS:
+        if len(read) == 1 and root(read) != root(meant):
+            same[root(read)] = root(meant)
+    apart = {root(meant): read for read, meant in GLYPHS if len(read) > 1}
+
+    def spell(c: str) -> str:
+        c = root(c)
+        return "".join(map(spell, apart[c])) if c in apart else c
+
+    return {ord(c): spell(c) for pair in GLYPHS for c in "".join(pair)}
+
+
+def skeleton(word: str) -> str:
+    return word.translate(_strokes())
+
+
+def edits(read: str, meant: str) -> int | None:
+    """The least number of glyph confusions that turn ``meant`` into ``read``; None if they cannot."""
+    best = {(0, 0): 0}
+    for i in range(len(read)):
+        for j in range(len(meant)):
+            if (done := best.get((i, j))) is None:
                 continue
-            made, at = [], 0
-            for start, end, meant in chosen:
-                made += [word[at:start], meant]
-                at = end
-            out.add("".join(made) + word[at:])
-    return out - {word}
+            steps = [(1, 1, 0)] if read[i] == meant[j] else []
+            steps += [(len(a), len(b), 1) for a, b in GLYPHS if read.startswith(a, i) and meant.startswith(b, j)]
+            for di, dj, cost in steps:
+                if best.get((i + di, j + dj), 1 << 30) > done + cost:
+                    best[i + di, j + dj] = done + cost
+    return best.get((len(read), len(meant)))
+
+
+@lru_cache(1)
+def _projection() -> np.ndarray:
+    return np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (ROWS, WIDTH))
+
+
+@lru_cache(200_000)
+def _row(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % ROWS
+
+
+def _around(words: list[str], at: int) -> list[int]:
+    """The random vectors of the two words before and the two after."""
+    return [_row(words[i]) for i in (at - 2, at - 1, at + 1, at + 2) if 0 <= i < len(words)]
 
 
 def _body(text: str, titles: tuple) -> tuple[list[str], list[str], list[tuple[int, str]]]:
@@ -170,38 +222,48 @@ def _body(text: str, titles: tuple) -> tuple[list[str], list[str], list[tuple[in
     return lines, kinds, [(i, lines[i]) for i, k in enumerate(kinds) if k == "body"]
 
 
+def _stream(text: str, titles: tuple) -> tuple[list[str], list[str], list[tuple[int, str]], list[str], list[bool]]:
+    """Lines, their kinds, the body lines, each body line's piece of the joined stream and whether it is broken off."""
+    lines, kinds, body = _body(text, titles)
+    pieces, broken = [], []
+    for k, (_, line) in enumerate(body):
+        cut = _HYPHEN.search(line)
+        if cut and k + 1 < len(body) and body[k + 1][1].lstrip()[:1].isalpha():
+            pieces.append(line[: cut.start()])
+            broken.append(True)
+        else:
+            pieces.append(line.rstrip() + ("" if _HAN.search(line[-2:]) else " "))
+            broken.append(False)
+    return lines, kinds, body, pieces, broken
+
+
 def _evidence(ident, text, title, html_title):
-    """Layout rows at once; suspicious words and Han characters with their contexts for the joins."""
+    """Layout rows at once; suspicious words and Han characters with their contexts for the joins.
+
+    ``at`` and ``size`` are the place in the joined stream, ``following`` the line where a broken word ends.
+    """
     if not text:
         return
-    lines, kinds, body = _body(text, (title, html_title))
+    _, kinds, body, pieces, broken = _stream(text, (title, html_title))
     for number, kind in enumerate(kinds, 1):
         if kind in ("header", "page_no"):
-            yield ident, number, kind, None, None, None, None, None
-    # Words of the body, those broken at a line's end put together and counted for both lines.
-    stream, owners = [], []
-    for k, (at, line) in enumerate(body):
-        cut = _HYPHEN.search(line)
-        if cut and k + 1 < len(body) and body[k + 1][1].lstrip()[:1].isalpha():
-            yield ident, at + 1, "hyphen", None, None, None, None, None
-            piece = line[: cut.start()]
-        else:
-            cut, piece = None, line.rstrip() + ("" if _HAN.search(line[-2:]) else " ")
-        stream.append(piece)
+            yield ident, number, kind, None, None, None, None, None, None, None, None, None, None
+    owners = []
+    for (at, _), piece, cut in zip(body, pieces, broken):
+        if cut:
+            yield ident, at + 1, "hyphen", None, None, None, None, None, None, None, None, None, None
         owners += [at + 1] * len(piece)
-    joined = "".join(stream)
-    for m in _WORD.finditer(joined):
-        word = m[0]
-        if not word[0].isdigit() and _SITES.search(word) and len(word) > 1 and any(c.isalpha() for c in word) and not _HAN.search(word):
+    joined = "".join(pieces)
+    found = list(_WORD.finditer(joined))
+    words = [unicodedata.normalize("NFC", m[0]) for m in found]
+    for k, (m, word) in enumerate(zip(found, words)):
+        if len(word) > 1 and not word[0].isdigit() and _SITES.search(word) and any(c.isalpha() for c in word) and not _HAN.search(word):
             first, last = owners[m.start()], owners[m.end() - 1]
-            if first == last:
-                yield ident, first, "word", unicodedata.normalize("NFC", word), None, None, None, None
-            else:
-                cut = next(i for i in range(m.start(), m.end()) if owners[i] != first) - m.start()
-                yield ident, first, "split", unicodedata.normalize("NFC", word), str(last), None, None, str(cut)
+            cut = next((i for i in range(m.start(), m.end()) if owners[i] != first), m.end()) - m.start()
+            yield ident, first, "word", word, None, None, None, None, m.start(), m.end() - m.start(), last, cut, _around(words, k)
     for at, char in enumerate(joined):
         if char in HAN_GLYPHS:
-            yield ident, owners[at], "han", char, HAN_GLYPHS[char], *_contexts(joined, at)
+            yield ident, owners[at], "han", char, HAN_GLYPHS[char], *_contexts(joined, at), at, 1, None, None, None
 
 
 def _contexts(text: str, at: int) -> tuple[str, str, str]:
@@ -211,8 +273,8 @@ def _contexts(text: str, at: int) -> tuple[str, str, str]:
 _WATCHED = regex.compile("[" + "".join(sorted(set(HAN_GLYPHS) | set(HAN_GLYPHS.values()))) + "]")
 
 
-def skip_gram_counts(texts: DataFrame) -> DataFrame:
-    """(context, unit, n) over all texts: words with an empty context, watched Han characters with three."""
+def han_counts(texts: DataFrame) -> DataFrame:
+    """(context, unit, n) over all texts: watched Han characters with three contexts each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(seen: Counter) -> pa.RecordBatch:
@@ -222,45 +284,149 @@ def skip_gram_counts(texts: DataFrame) -> DataFrame:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                if not text.isascii():
-                    text = unicodedata.normalize("NFC", text)
-                seen.update(("", w) for w in _WORD.findall(text) if not _HAN.match(w))
-                if _WATCHED.search(text):
-                    flat = text.replace("\n", "")
+                if text and _WATCHED.search(text):
+                    flat = unicodedata.normalize("NFC", text).replace("\n", "")
                     for m in _WATCHED.finditer(flat):
                         for context in _contexts(flat, m.start()):
                             seen[(context, m[0])] += 1
-                if len(seen) > 300_000:
-                    yield flush(seen)
-                    seen = Counter()
+            if len(seen) > 300_000:
+                yield flush(seen)
+                seen = Counter()
         if seen:
             yield flush(seen)
 
     return arrow_map(texts.select("text"), count, "context string, unit string, n bigint").groupBy("context", "unit").agg(F.sum("n").alias("n"))
 
 
-def garbled_words(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """(word, meant) of each distinct word that a glyph edit links to a far more frequent neighbour."""
-    link = flat_map(words.select("word").distinct(), lambda w: [(w, v) for v in readings(w)], "word string, meant string")
-    known = counts.where("context = ''").select("unit", "n")
-    linked = link.join(known.toDF("meant", "meant_n"), "meant").join(known.toDF("word", "word_n"), "word", "left")
-    fit = linked.where(F.col("meant_n") >= RATIO * F.coalesce("word_n", F.lit(0)) + F.when(F.col("word").rlike(r"\p{L}[0!+1|]"), 0).otherwise(2))
-    return fit.groupBy("word").agg(F.max_by("meant", F.struct("meant_n", "meant")).alias("meant"))
+def word_vectors(texts: DataFrame) -> DataFrame:
+    """(word, n, vec): every word of the texts with its count and its skip-gram vector; the word '' holds the sum of all."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _projection()
+        numbers: dict[str, int] = {"": 0}
+        sums, counts = np.zeros((1024, WIDTH), np.float32), np.zeros(1024, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            n = len(numbers)
+            sums[0], counts[0] = sums[1:n].sum(axis=0), counts[1:n].sum()
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums[:n].ravel()), WIDTH).cast(pa.list_(pa.float32()))
+            return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(counts[:n]), vectors], ["word", "n", "vec"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                ids: list[int] = []
+                rows: list[int] = []
+                for text in batch.column(0).slice(start, 256).to_pylist():
+                    if not text:
+                        continue
+                    words = _WORD.findall(text if text.isascii() else unicodedata.normalize("NFC", text))
+                    if words:
+                        # Two blanks between texts keep their words apart.
+                        ids += [*(numbers.setdefault(w, len(numbers)) for w in words), 0, 0]
+                        rows += [*map(_row, words), ROWS, ROWS]
+                if not ids:
+                    continue
+                if len(numbers) > len(sums):
+                    grown = 1 << (len(numbers) - 1).bit_length()
+                    sums, counts = np.pad(sums, [(0, grown - len(sums)), (0, 0)]), np.pad(counts, (0, grown - len(counts)))
+                at, random = np.array(ids), np.vstack([table, np.zeros((1, WIDTH), np.float32)])[np.array(rows)]
+                near = np.zeros_like(random)
+                for shift in (1, 2):
+                    near[shift:] += random[:-shift]
+                    near[:-shift] += random[shift:]
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                sums[at[order][first]] += np.add.reduceat(near[order], first, axis=0)
+                np.add.at(counts, at, 1)
+            if len(numbers) > 200_000:
+                yield flush()
+                numbers = {"": 0}
+                sums, counts = np.zeros((1024, WIDTH), np.float32), np.zeros(1024, np.int64)
+        yield flush()
+
+    parts = arrow_map(texts.select("text"), learn, "word string, n bigint, vec array<float>")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one word follow each other.
+        word, n, total = None, 0, np.zeros(WIDTH, np.float32)
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([v for _, _, v in out]) if out else np.zeros(0, np.float32)), WIDTH).cast(pa.list_(pa.float32()))
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in out], pa.string()), pa.array([k for _, k, _ in out], pa.int64()), vectors], ["word", "n", "vec"])
+
+        for batch in batches:
+            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+            for i, (w, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if w != word:
+                    if word is not None:
+                        out.append((word, n, total))
+                    word, n, total = w, 0, np.zeros(WIDTH, np.float32)
+                n, total = n + k, total + vectors[i]
+            if len(out) > 20_000:
+                yield made()
+                out = []
+        if word is not None:
+            out.append((word, n, total))
+        yield made()
+
+    return arrow_map(parts.repartition("word").sortWithinPartitions("word"), add, "word string, n bigint, vec array<float>")
+
+
+def linked_words(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(word, meant, n, meant_n, vec, meant_vec): each distinct word with the more frequent ones that glyphs link it to."""
+    spelt = flat_map(vectors.where("word <> ''"), lambda w, n, v: [(skeleton(w), w, n, v)], "skeleton string, word string, n bigint, vec array<float>")
+    mine = spelt.join(words.select("word").distinct(), "word", "left_semi")
+    other = spelt.select("skeleton", F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("vec").alias("meant_vec"))
+    pairs = mine.join(other, "skeleton").where("word <> meant and meant_n > n and meant_n > 2")
+
+    def possible(w, m, n, k, v, u):
+        return [(w, m, n, k, v, u)] if edits(w, m) else []
+
+    return flat_map(pairs.select("word", "meant", "n", "meant_n", "vec", "meant_vec"), possible, "word string, meant string, n bigint, meant_n bigint, vec array<float>, meant_vec array<float>")
+
+
+def garbled_words(words: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Occurrences of words (key, line_no, word, at, size, following, cut, near) that are misread, with what is meant."""
+    links = linked_words(words, vectors)
+    # One row, the sum over all words; their mean is taken from every vector.
+    mean = F.broadcast(vectors.where("word = ''").select(F.col("n").alias("all_n"), F.col("vec").alias("all_vec"), F.lit("").alias("one")))
+    cases = words.join(links, "word").withColumn("one", F.lit("")).join(mean, "one")
+    kind = dict(words.dtypes)[key]
+
+    def decide(ident, line_no, word, at, size, following, cut, near, meant, n, meant_n, vec, meant_vec, all_n, all_vec):
+        table = _projection()
+        mean = np.array(all_vec, np.float64) / max(all_n, 1)
+        own = table[near].sum(axis=0) if near else np.zeros(WIDTH)
+        around = own - mean
+
+        def fit(vector, count):
+            v = np.array(vector, np.float64) - count * mean
+            norm = np.linalg.norm(v) * np.linalg.norm(around)
+            return float(v @ around / norm) if norm > 1e-9 else 0.0
+
+        # The occurrence itself does not speak for what was read.
+        gain = fit(meant_vec, meant_n) - (fit(np.array(vec) - own, n - 1) if n > 1 else 0.0)
+        score = np.log(meant_n / n) / np.log(RATIO) + CONTEXT * gain + (SIGN if _SIGN_INSIDE.search(word) else 0.0)
+        if score >= 1:
+            yield ident, line_no, word, at, size, following, cut, meant, float(score)
+
+    columns = [key, "line_no", "word", "at", "size", "following", "cut", "near", "meant", "n", "meant_n", "vec", "meant_vec", "all_n", "all_vec"]
+    found = flat_map(cases.select(*columns), decide, f"{key} {kind}, line_no bigint, word string, at int, size int, following bigint, cut int, meant string, score double")
+    best = found.groupBy(key, "line_no", "word", "at", "size", "following", "cut").agg(F.max_by("meant", F.struct("score", "meant")).alias("meant"))
+    return best
 
 
 def scan_evidence(rows: DataFrame, corpus: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Layout lines, garbled words and garbled Han characters of ``rows``, judged by ``corpus``."""
     kind = dict(rows.dtypes)[key]
-    schema = f"{key} {kind}, line_no bigint, kind string, unit string, meant string, left string, right string, around string"
-    evidence = flat_map(rows.select(key, "text", "title", "html_title"), _evidence, schema).distinct().persist()
-    counts = skip_gram_counts(corpus).persist()
+    schema = f"{key} {kind}, line_no bigint, kind string, unit string, meant string, left string, right string, around string, at int, size int, following bigint, cut int, near array<int>"
+    evidence = keep(flat_map(rows.select(key, "text", "title", "html_title"), _evidence, schema).distinct())
     layout = evidence.where("kind in ('header', 'page_no', 'hyphen')").select(key, "line_no", "kind")
-    words = evidence.where("kind in ('word', 'split')").select(key, "line_no", "kind", F.col("unit").alias("word"), F.col("meant").alias("next"), F.col("around").alias("cut"))
-    bad_words = words.join(garbled_words(words, counts), "word")
-    han = evidence.where("kind = 'han'").select(key, "line_no", "unit", "meant", "left", "right", "around")
-    vectors = counts.where("context <> ''")
+    words = evidence.where("kind = 'word'").select(key, "line_no", F.col("unit").alias("word"), "at", "size", "following", "cut", "near")
+    bad_words = garbled_words(words, keep(word_vectors(corpus)), key)
+    han = evidence.where("kind = 'han'").select(key, "line_no", "unit", "meant", "left", "right", "around", "at")
+    vectors = keep(han_counts(corpus))
     distinct = han.select("unit", "meant", "left", "right", "around").distinct()
     scored = distinct
     for side in ("left", "right", "around"):
@@ -289,46 +455,48 @@ def scan_faults(rows: DataFrame, corpus: DataFrame, key: str = "global_id") -> D
     def side(word, meant, cut, line_no, following):
         # The line that holds the first letter which differs.
         differs = next((i for i, (a, b) in enumerate(zip(word, meant)) if a != b), min(len(word), len(meant)))
-        return line_no if cut is None or differs < int(cut) else int(following)
+        return line_no if differs < cut else following
 
     kind = dict(rows.dtypes)[key]
-    placed = flat_map(words.select(key, "line_no", "word", "meant", "cut", "next"), lambda k, n, w, m, c, f: [(k, side(w, m, c, n, f))], f"{key} {kind}, line_no bigint")
+    placed = flat_map(words.select(key, "line_no", "word", "meant", "cut", "following"), lambda k, n, w, m, c, f: [(k, side(w, m, c, n, f))], f"{key} {kind}, line_no bigint")
     garbled = placed.unionByName(han.select(key, "line_no")).withColumn("kind", F.lit("garble"))
     return reduce(DataFrame.unionByName, [layout, garbled]).distinct()
 
 
 def repaired_text(rows: DataFrame, corpus: DataFrame, key: str = "global_id") -> DataFrame:
-    """(key, text) in continuous paragraphs: furniture removed, broken words joined, glyphs corrected."""
+    """(key, text) in continuous paragraphs: furniture removed, broken words joined, glyphs corrected.
+
+    Corrections are made in place, in the stream of body lines, before it is set in paragraphs.
+    """
     _, words, han = scan_evidence(rows, corpus, key)
-    fixes = words.select(key, F.col("word").alias("read"), "meant", F.lit("").alias("left"), F.lit("").alias("right"))
-    fixes = fixes.unionByName(han.select(key, F.col("unit").alias("read"), "meant", "left", "right")).distinct()
-    packed = fixes.groupBy(key).agg(F.collect_set(F.struct("read", "meant", "left", "right")).alias("fixes"))
+    fixes = words.select(key, "at", "size", "meant").unionByName(han.select(key, "at", F.lit(1).alias("size"), "meant")).distinct()
+    packed = fixes.groupBy(key).agg(F.collect_set(F.struct("at", "size", "meant")).alias("fixes"))
 
     def mend(ident, text, title, html_title, found):
         if text is None:
             return [(ident, None)]
-        _, _, body = _body(text, (title, html_title))
-        words_ = {f["read"]: f["meant"] for f in found or [] if not f["left"]}
-        chars = {(f["read"], f["left"], f["right"]): f["meant"] for f in found or [] if f["left"]}
+        _, _, body, pieces, broken = _stream(text, (title, html_title))
+        chars = list("".join(pieces))
+        for fix in found or []:
+            if fix["at"] + fix["size"] <= len(chars):
+                # What a broken word becomes stands where it began.
+                chars[fix["at"] : fix["at"] + fix["size"]] = [fix["meant"]] + [""] * (fix["size"] - 1)
         paragraphs: list[str] = []
         longest = max((len(line) for _, line in body), default=0)
-        open_ = False
-        for at, line in body:
-            cut = _HYPHEN.search(line)
-            piece = line[: cut.start()] if cut else line.rstrip()
+        open_, at, joins = False, 0, False
+        for (_, line), piece, cut in zip(body, pieces, broken):
+            mended = "".join(chars[at : at + len(piece)])
+            at += len(piece)
+            mended = mended if cut else mended.rstrip()
             if open_ and paragraphs:
-                glue = "" if paragraphs[-1].endswith("\0") or _HAN.search(piece[:1]) or _HAN.search(paragraphs[-1][-1:]) else " "
-                paragraphs[-1] = paragraphs[-1].rstrip("\0") + glue + piece
+                glue = "" if joins or _HAN.search(mended[:1]) or _HAN.search(paragraphs[-1][-1:]) else " "
+                paragraphs[-1] += glue + mended.lstrip()
             else:
-                paragraphs.append(piece)
-            if cut:
-                paragraphs[-1] += "\0"
+                paragraphs.append(mended)
+            joins = cut
             # A short line ends its paragraph.
-            open_ = cut is not None or len(line.rstrip()) >= 0.75 * longest
-        out = "\n".join(p.rstrip("\0") for p in paragraphs)
-        out = _WORD.sub(lambda m: words_.get(unicodedata.normalize("NFC", m[0]), m[0]), out)
-        out = "".join(chars.get((c, *_contexts(out, i)[:2]), c) if c in HAN_GLYPHS else c for i, c in enumerate(out))
-        return [(ident, out)]
+            open_ = cut or len(line.rstrip()) >= 0.75 * longest
+        return [(ident, "\n".join(paragraphs))]
 
     kind = dict(rows.dtypes)[key]
     joined = rows.select(key, "text", "title", "html_title").dropDuplicates([key]).join(packed, key, "left")
