@@ -9,6 +9,12 @@ find names, and every span is replaced by a placeholder of its kind.  Numbers be
 list holds are found in the same way: a pattern of the words before a number and of what joins it
 to a name is accepted if names and numbers vary and most numbers are written like those of seeds.
 
+Two further rounds take the seed out of the patterns.  In the second, the words before a name and the
+character after it are a pattern by themselves, trusted if nearly all names it holds beside seeds are
+known; it takes names whose joint with the seed is rare.  In the third, the trusted words are looked
+up in every text, seed or no seed; a pattern is kept if most of what it holds there is known from
+the rounds before, so that words which also announce cited authors are dropped.
+
 Null and empty texts hold no span.  Positions count code points; repeated rows give one span.
 """
 
@@ -20,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import flat_map, per_task
 
 # Forms of entities in the four languages of the corpus.
@@ -46,12 +53,16 @@ _ADDRESS_EN = rf"P\.[ ]?O\.[ ]Box[ ]\d+,[ ]{_TOWN}|(?:(?:Flat|Apt\.?|Unit)[ ]\d+
 _ADDRESS_FR = rf"\d+(?:[ ](?:bis|ter))?,[ ](?:rue|avenue|impasse|quai|boulevard|place|allée|chemin)[ ](?:(?:des|du|de la|de l’|de|d’|l’)[ ]?)?{_WORDS}(?:,[ ](?:\d{{5}}[ ])?{_UPPER}(?:[ ]{_UPPER})*)+"
 
 # A name: words with capitals and initials, in one script, or two to four Han characters.
-_NAME_LATIN = r"(?:\p{Lu}\.(?:-\p{Lu}\.)?|\p{Lu}[\p{L}\p{M}’'\-]*)(?:[ ](?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}’'\-]*)){0,5}"
+_NAME_LATIN = r"(?:\p{Lu}\.(?:-\p{Lu}\.)?|\p{Lu}[\p{L}\p{M}’'\-]*)(?:[ ](?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}’'\-]*))*"
 
 #: Reach of a pattern around an entity, in code points.
 REACH = 34
 #: A pattern needs as many different first and last parts of names as this.
 VARIETY = 4
+#: Of the names that words announce beside seeds, and in all texts, these shares must be known.
+TRUST_NEAR, TRUST_ANYWHERE = 0.8, 0.6
+#: Announcing words looked up in one pass over the texts; more of them are looked up in several.
+CUE_BLOCK = 100_000
 
 
 class Finder:
@@ -76,7 +87,7 @@ class Finder:
             (self.phone, "phone", c(rf"{_DIGIT}(?:\D{{0,2}}{_DIGIT}){{7}}")),
             (self.phone_trunk, "phone", c(rf"[+＋]{_DIGIT}")),
             (self.zh, "address", c(r"[0-9０-９]號")),
-            (self.vi, "address", c(r"\d[^\n]{0,40}(?:phố|đường|P\.|ngõ|tổ)|(?:thôn|xóm|ấp|bản) \p{Lu}|\d [^\n]{0,30}, (?:P\.|phường|quận)")),
+            (self.vi, "address", c(r"[Ss]ố \d|\d/\d|\d,? (?:ngõ|ngách|hẻm|tổ|đường|phố) |(?:thôn|xóm|ấp|bản) \p{Lu}")),
             (self.en, "address", c(r"Box \d|Street|Lane|Road|Avenue|Close|Row|Square")),
             (self.fr, "address", c(r"\d(?: bis| ter)?, (?:rue|avenue|impasse|quai|boulevard|place|allée|chemin) ")),
         ]
@@ -169,7 +180,7 @@ class Finder:
         for m in self.latin.finditer(part):
             words = m[0].split(" ")
             a = m.start()
-            for drop in range(min(3, len(words))):
+            for drop in range(len(words)):
                 name = words[drop:]
                 if drop:
                     a += len(words[drop - 1]) + 1
@@ -254,10 +265,92 @@ def discovered_numbers(evidence: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key, "start_pos", "end_pos").agg(F.min(F.coalesce("of", "kind")).alias("kind")).select(key, "kind", "start_pos", "end_pos")
 
 
-def personal_spans(rows: DataFrame, key: str = "doc_id", rounds: int = 2) -> DataFrame:
+def _variety(least: int = VARIETY):
+    return (F.col("firsts") >= least) & (F.col("lasts") >= least)
+
+
+def _announced(found: DataFrame) -> DataFrame:
+    """Contexts with the seed taken out: ``cue``, the words before the name, and ``next``, the character after it."""
+    cue = F.regexp_replace("left", "^<[a-z_]+>", "")
+    next_ = F.substring(F.regexp_replace("right", "<[a-z_]+>$", ""), 1, 1)
+    return found.withColumns({"cue": cue, "next": next_}).where(F.col("cue").rlike(r"\p{L}\p{M}*\p{L}"))
+
+
+def trusted_cues(contexts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(cue, next) of the announcing words nearly all of whose names beside seeds are ``known`` (key, start_pos, end_pos)."""
+    marked = _announced(contexts).join(known.select(key, "start_pos", "end_pos").distinct().withColumn("known", F.lit(1)), [key, "start_pos", "end_pos"], "left")
+    scored = marked.groupBy("cue", "next").agg(
+        F.count_distinct(F.when(F.col("known") == 1, F.col("first"))).alias("firsts"), F.count_distinct(F.when(F.col("known") == 1, F.col("last"))).alias("lasts"),
+        F.count("known").alias("known"), F.count("*").alias("n"),
+    )
+    return scored.where(_variety() & (F.col("known") >= TRUST_NEAR * F.col("n"))).select("cue", "next")
+
+
+def names_anywhere(rows: DataFrame, cues: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, start_pos, end_pos) of the names that trusted words announce in any text, where most they announce are ``known``."""
+    kind = dict(rows.dtypes)[key]
+    found = None
+    block: dict[str, set[str]] = {}
+
+    def look_up(block: dict[str, set[str]]) -> DataFrame:
+        @per_task
+        def find():
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for cue, followed in block.items():
+                automaton.add_word(cue, (len(cue), cue, followed))
+            automaton.make_automaton()
+            latin = regex.compile(_NAME_LATIN, regex.V1)
+
+            def each(ident, text):
+                for last, (size, cue, followed) in automaton.iter(text) if text else ():
+                    at = last + 1
+                    if at > size and text[at - size - 1].isalpha() and not "㐀" <= text[at - size - 1] <= "鿿":
+                        continue
+                    if m := latin.match(text, at):
+                        if text[m.end() : m.end() + 1] in followed:
+                            yield ident, at, m.end(), cue, text[m.end() : m.end() + 1]
+                        continue
+                    for end in (at + 2, at + 3, at + 4):
+                        if all("一" <= c <= "鿿" for c in text[at:end]) and text[end : end + 1] in followed and len(text) >= end:
+                            yield ident, at, end, cue, text[end : end + 1]
+
+            return each
+
+        return flat_map(rows.select(key, "text"), find, f"{key} {kind}, start_pos bigint, end_pos bigint, cue string, next string").distinct()
+
+    for row in cues.toLocalIterator():
+        block.setdefault(row.cue, set()).add(row.next)
+        if len(block) >= CUE_BLOCK:
+            part = look_up(block)
+            found, block = part if found is None else found.unionByName(part), {}
+    if block:
+        part = look_up(block)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return known.select(key, "start_pos", "end_pos").limit(0)
+    marked = found.join(known.select(key, "start_pos", "end_pos").distinct().withColumn("known", F.lit(1)), [key, "start_pos", "end_pos"], "left")
+    # An unknown stretch that overlaps a known one is another reading of it, not another name.
+    whole = Window.partitionBy(key).orderBy("start_pos").rangeBetween(-4, 4)
+    marked = keep(marked.withColumn("beside", F.max(F.coalesce("known", F.lit(0))).over(whole)))
+    scored = marked.where("known = 1 or beside = 0").groupBy("cue", "next").agg(F.count("known").alias("known"), F.count("*").alias("n")).where(F.col("known") >= TRUST_ANYWHERE * F.col("n")).select("cue", "next")
+    return marked.where("known is null and beside = 0").join(scored, ["cue", "next"]).select(key, "start_pos", "end_pos").distinct()
+
+
+def _without_overlaps(spans: DataFrame, key: str) -> DataFrame:
+    """Of the stretches (key, start_pos, end_pos, score) that overlap, the best; a document's names are few."""
+    before = Window.partitionBy(key).orderBy("start_pos", "end_pos").rowsBetween(Window.unboundedPreceding, -1)
+    groups = spans.withColumn("reach", F.max("end_pos").over(before)).withColumn("new", (F.col("reach").isNull() | (F.col("start_pos") >= F.col("reach"))).cast("int"))
+    groups = groups.withColumn("cluster", F.sum("new").over(Window.partitionBy(key).orderBy("start_pos", "end_pos")))
+    pick = F.row_number().over(Window.partitionBy(key, "cluster").orderBy(F.desc("score"), F.desc(F.col("end_pos") - F.col("start_pos")), "start_pos"))
+    return groups.withColumn("pick", pick).where("pick = 1").select(key, "start_pos", "end_pos")
+
+
+def personal_spans(rows: DataFrame, key: str = "doc_id", rounds: int = 3) -> DataFrame:
     """(key, kind, start_pos, end_pos) of all personal information."""
-    evidence = _evidence(rows, key).persist()
-    discovered = discovered_numbers(evidence, key).persist()
+    evidence = keep(_evidence(rows, key))
+    discovered = keep(discovered_numbers(evidence, key))
     seeds = evidence.where("left is null").select(key, "kind", "start_pos", "end_pos").unionByName(discovered)
     sides = [key, "start_pos", "end_pos", "left", "right", "first", "last"]
     # Discovered numbers are seeds in turn.
@@ -265,26 +358,22 @@ def personal_spans(rows: DataFrame, key: str = "doc_id", rounds: int = 2) -> Dat
     near = evidence.where("kind = 'near'").join(turn, [key, "start"])
     near = near.withColumns({side: F.replace(F.col(side), F.lit("<number>"), F.col("mark")) for side in ("left", "right")})
     contexts = evidence.where("kind = 'name'").select(*sides).unionByName(near.select(*sides)).distinct()
-    # Level 0: a pattern is both sides together; variety of the first and last parts is its score.
-    patterns = contexts.groupBy("left", "right").agg(F.count_distinct("first").alias("firsts"), F.count_distinct("last").alias("lasts"), F.count("*").alias("n"))
-    score = F.least("firsts", "lasts")
-    accepted = patterns.where((F.col("firsts") >= VARIETY) & (F.col("lasts") >= VARIETY)).withColumn("score", score.cast("double"))
-    for _ in range(1, rounds):
-        # Each further level lets a side that is trusted vouch for rarer partners of it.
-        left = accepted.groupBy("left").agg(F.max("score").alias("by_left"))
-        right = accepted.groupBy("right").agg(F.max("score").alias("by_right"))
-        accepted = (
-            patterns.join(left, "left").join(right, "right").withColumn("score", F.least("by_left", "by_right") * F.least(F.lit(1.0), score / VARIETY)).select("left", "right", "firsts", "lasts", "n", "score")
-        )
-    found = contexts.join(accepted.select("left", "right", "score"), ["left", "right"])
-    # Of the stretches that overlap, the best pattern's wins; a document's contexts are few.
-    best = Window.partitionBy(key).orderBy("start_pos", "end_pos").rowsBetween(Window.unboundedPreceding, -1)
-    spans = found.groupBy(key, "start_pos", "end_pos").agg(F.max("score").alias("score"))
-    groups = spans.withColumn("reach", F.max("end_pos").over(best)).withColumn("new", (F.col("reach").isNull() | (F.col("start_pos") >= F.col("reach"))).cast("int"))
-    groups = groups.withColumn("cluster", F.sum("new").over(Window.partitionBy(key).orderBy("start_pos", "end_pos")))
-    pick = F.row_number().over(Window.partitionBy(key, "cluster").orderBy(F.desc("score"), F.desc(F.col("end_pos") - F.col("start_pos")), "start_pos"))
-    names = groups.withColumn("pick", pick).where("pick = 1").select(key, F.lit("name").alias("kind"), "start_pos", "end_pos")
-    return seeds.unionByName(names)
+    # First round: a pattern is both sides together; variety of the first and last parts is its score.
+    patterns = contexts.groupBy("left", "right").agg(F.count_distinct("first").alias("firsts"), F.count_distinct("last").alias("lasts"))
+    accepted = patterns.where(_variety()).select("left", "right", F.least("firsts", "lasts").cast("double").alias("score"))
+    matched = contexts.join(accepted, ["left", "right"])
+    names = _without_overlaps(matched.groupBy(key, "start_pos", "end_pos").agg(F.max("score").alias("score")), key)
+    if rounds > 1:
+        first = keep(names)
+        cues = trusted_cues(contexts, first, key)
+        # Second round: trusted words take names beside seeds whatever joins them; the first round goes before.
+        more = _announced(contexts).join(cues, ["cue", "next"], "left_semi").select(key, "start_pos", "end_pos").distinct()
+        names = first.withColumn("score", F.lit(2.0)).unionByName(more.withColumn("score", F.lit(1.0)))
+        names = _without_overlaps(names.groupBy(key, "start_pos", "end_pos").agg(F.max("score").alias("score")), key)
+    if rounds > 2:
+        second = keep(names)
+        names = second.unionByName(names_anywhere(rows, cues, second, key))
+    return seeds.unionByName(names.select(key, F.lit("name").alias("kind"), "start_pos", "end_pos"))
 
 
 def redacted(rows: DataFrame, key: str = "doc_id") -> DataFrame:
