@@ -1,5 +1,6 @@
 """Small cases, brute force and round trips of the text operators."""
 
+import itertools
 import random
 import unicodedata
 
@@ -43,9 +44,22 @@ def test_trie_walks_with_a_budget():
     trie = lookalike.SpellingTrie()
     trie.add("hello", 5)
     trie.add("help", 9)
-    assert trie.nearest("hеllо") == "hello"
-    assert trie.nearest("hexlo") is None
-    assert trie.nearest("hexlo", 1) == "hello"
+    assert [x[2] for x in trie.nearest("hеllо")] == ["hello"]
+    assert trie.nearest("hexlo", 1) == []
+    # An Armenian letter in a Latin word costs one, unless it agrees.
+    assert trie.nearest("hellօ", 1) == [(1, -5, "hello")] and trie.nearest("hellօ") == []
+
+
+def test_letters_are_learnt_from_words(spark):
+    words = ["hello", "yellow", "money", "color", "stone"]
+    rows = [(i, w) for i, w in enumerate(words * 3)] + [(100 + i, w.replace("o", "օ")) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "global_id bigint, text string")
+    assert lookalike.vocabulary(df)[0] == {"օ": "o"}
+    assert (0, 100) in pairs(lookalike.same_display_pairs(df, "global_id"))
+    # A Russian word stays what it is where no Latin spelling is attested.
+    other = spark.createDataFrame([(1, "сосна"), (2, "соснa")], "global_id bigint, text string")
+    assert {r.canonical for r in lookalike.canonicalise(other, "global_id").collect()} == {"сосна"}
+    assert {(r.global_id, r.group_id, r.texts) for r in lookalike.same_display_groups(other, "global_id").collect()} == {(1, 1, 2), (2, 1, 2)}
 
 
 # --- 2 --------------------------------------------------------------------------------------
@@ -65,13 +79,35 @@ def test_repeated_lines_match_brute_force(spark):
                 if len(key) >= 2 and support >= 4 and support >= 0.05 * len(own):
                     expected.add((i, n))
     df = candidates(spark, rows)
-    for length in (1, 2, 3):
-        assert set(pairs(site_lines.repeated_lines(df, max_length=length))) == expected
+    assert set(pairs(site_lines.repeated_lines(df))) == expected
     cleaned = dict(pairs(site_lines.without_lines(df, site_lines.repeated_lines(df))))
     assert cleaned[99] is None
     assert all("Share this" not in (t or "") or rows[i][1] is None for i, t in cleaned.items() if i < 30)
 
 
+def subsequence(a, b):
+    it = iter(b)
+    return all(x in it for x in a)
+
+
+def test_frequent_sequences_match_brute_force(spark):
+    rng = random.Random(8)
+    for turn in range(2):
+        docs = {i: [rng.randrange(6) for _ in range(rng.randrange(1, 6))] for i in range(24)}
+        if turn:
+            docs = {i: [1, 2, 3, *d] for i, d in docs.items()}
+        lines = spark.createDataFrame([("s", i, list(range(1, len(d) + 1)), d) for i, d in docs.items()], "domain string, global_id bigint, numbers array<bigint>, items array<bigint>")
+        sizes = spark.createDataFrame([("s", 24)], "domain string, documents bigint")
+        mined = {tuple(r.sequence): r.support for r in site_lines.frequent_sequences(lines, sizes, "global_id", "domain").collect()}
+        support = lambda q: sum(subsequence(q, d) for d in docs.values())
+        assert mined and all(support(q) == n >= 4 for q, n in mined.items())
+        # Every frequent sequence lies in a mined one that as many documents hold.
+        for size in (1, 2, 3):
+            for q in itertools.product(range(6), repeat=size):
+                if (n := support(q)) >= 4:
+                    assert any(m == n and subsequence(q, w) for w, m in mined.items()), (q, n)
+
+
 # --- 3 --------------------------------------------------------------------------------------
 
 
@@ -185,7 +221,21 @@ def test_line_kinds():
 
 def test_readings_undo_glyph_confusions():
     for read, meant in [("Tliuc", "Thuc"), ("C0mmissioner", "Commissioner"), ("v!ên", "viên"), ("qiian", "quan"), ("Nhârn", "Nhâm"), ("campcd", "camped"), ("con+re", "contre")]:
-        assert meant in scan_repair.readings(read)
+        assert scan_repair.skeleton(read) == scan_repair.skeleton(meant) and scan_repair.edits(read, meant)
+    # Any number of confusions, and only confusions.
+    assert scan_repair.edits("coccccccccccccccccccc", "eoeeeeeeeeeeeeeeeeeee") == 20
+    assert scan_repair.edits("hour", "four") is None
+
+
+def test_context_decides_between_words(spark):
+    plain = ["we went home at night", "they came home at noon"] * 4 + ["visit the com site now"] * 9 + ["the green corn was eaten"]
+    scans = ["we went horne at night", "the green corn was eaten"]
+    rows = [(i, "a", t, "html") for i, t in enumerate(plain)] + [(900 + i, "a", t, "pdf") for i, t in enumerate(scans)]
+    df = candidates(spark, rows)
+    scanned = df.where("content_kind = 'pdf'")
+    # Eight times as frequent is too little by itself, the words around add the rest; and they keep a rare real word.
+    assert set(pairs(scan_repair.scan_faults(scanned, df))) == {(900, 1, "garble")}
+    assert dict(pairs(scan_repair.repaired_text(scanned, df))) == {900: "we went home at night", 901: "the green corn was eaten"}
 
 
 def test_scan_faults(spark):
@@ -228,6 +278,29 @@ def test_sentence_starts(text, starts):
     assert [a for a, _ in sentences.spans(text)] == starts
 
 
+def test_programme_finds_the_best_spans():
+    rng = random.Random(1)
+    parts = ["a", "B", ". ", "! ", "etc. ", "「", "」", "。", "漢", "...", "x" * 400, " "]
+    for _ in range(300):
+        line = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        nodes = sentences.places(line)
+        begin = sentences._NEXT_LETTER.search(line)
+        first = [begin.start() if begin else len(line)] + [n[1] for n in nodes]
+
+        def value(ends):
+            cut = [0, *ends]
+            return sum(sentences.length_score(nodes[j - 1][0] - first[i]) + nodes[j - 1][2] + (nodes[i - 1][3] if i else 0) for i, j in zip(cut, cut[1:]))
+
+        n = len(nodes)
+        best = max(value([i + 1 for i in range(n - 1) if mask >> i & 1] + [n]) for mask in range(1 << (n - 1)))
+        chosen = sentences.boundaries(line)
+        if not sentences._MARK.search(line):
+            assert chosen == [len(line)]
+            continue
+        places = [node[0] for node in nodes]
+        assert abs(value([places.index(e) + 1 for e in chosen]) - best) < 1e-6
+
+
 def test_very_long_line_is_split():
     assert len(list(sentences.spans("Abc def. " * 20_000))) == 20_000
 
@@ -267,11 +340,12 @@ def test_leaks_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     it = spark.createDataFrame(items[:8], "item_id bigint, lang string, text string")
     assert set(pairs(leakage.leaked_items(df, it))) == expected and expected
-    block, leakage.ITEM_BLOCK = leakage.ITEM_BLOCK, 200
+    # A filter that is nearly full costs time only.
+    bits, leakage.LEAST_BITS, leakage.MOST_BITS = (leakage.LEAST_BITS, leakage.MOST_BITS), 64, 64
     try:
         assert set(pairs(leakage.leaked_items(df, it))) == expected
     finally:
-        leakage.ITEM_BLOCK = block
+        leakage.LEAST_BITS, leakage.MOST_BITS = bits
     assert pairs(leakage.leaked_items(df, it.limit(0))) == []
 
 
