@@ -41,6 +41,8 @@ HAN_GLYPHS = dict(zip("入犬便日乒域賦艮宮侖卒晝末土巳干王間烏
 #: 1, and so does a cosine to the words around that is greater by 1 / CONTEXT; a sign between letters counts SIGN.
 RATIO = 12
 CONTEXT, SIGN = 1.0, 0.6
+#: A vector of this many occurrences counts half.
+FEW = 2
 #: Dimensions of a word's vector, and random vectors that context words are hashed to.
 WIDTH, ROWS = 64, 4096
 #: A Han character is garbled when its contexts favour the neighbour by this much (natural logarithm).
@@ -403,7 +405,8 @@ def garbled_words(words: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
         def fit(vector, count):
             v = np.array(vector, np.float64) - count * mean
             norm = np.linalg.norm(v) * np.linalg.norm(around)
-            return float(v @ around / norm) if norm > 1e-9 else 0.0
+            # A vector of few occurrences says little.
+            return float(v @ around / norm) * count / (count + FEW) if norm > 1e-9 else 0.0
 
         # The occurrence itself does not speak for what was read.
         gain = fit(meant_vec, meant_n) - (fit(np.array(vec) - own, n - 1) if n > 1 else 0.0)
