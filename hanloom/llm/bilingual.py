@@ -10,20 +10,24 @@ line merges units if it has a joint, or if a window that joins two lines whose n
 it better than either does alone.  Nothing asks for the same order.
 
 Null or missing texts, pairs that name no file and blank lines give no row; repeated rows count once.
-The vocabulary (syllables of a language, Han characters) is closed; its size is checked.
+The vocabulary (syllables of a language, Han characters) is closed and held in tables of fixed size.
+Of several texts under one file name the least counts.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .common import arrow_map, flat_map
 
 _VI = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+")
@@ -33,11 +37,15 @@ _VOLUME_VI, _VOLUME_ZH = regex.compile(r"(?:quyển|q\.)\s*(\d+)\s*$", regex.I),
 _DIGIT = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0}
 _UNIT = {"十": 10, "百": 100, "千": 1000, "萬": 10000, "万": 10000}
 
-#: Rank of the decomposition; vocabularies up to DENSE are decomposed in full, larger ones by random projection.
-RANK = 300
-DENSE = 4_000
-#: Both languages' vocabularies are closed sets; more terms than this are not words of two languages.
-MOST_TERMS = 400_000
+#: Rank of the decomposition, a random projection of OVER more dimensions sharpened by STEPS power steps.
+RANK, OVER, STEPS = 300, 60, 4
+#: Terms of a language are rows by their hash, so vectors of any vocabulary have a size with a proven bound; with
+#: the closed vocabularies of syllables and Han characters, collisions are rare.
+TERMS = 1 << 16
+#: Two terms are paired if their joint weight is at least this share of the mean of their own.
+LEAST_ASSOCIATION = 0.02
+#: Terms in a table of counts held by a task; a fuller table is passed on and begun anew.
+TABLE = 3_000
 #: Least cosine that counts, least score of a pair and its margin over the rest.
 LEAST_COSINE, LEAST_SCORE, MARGIN = 0.4, 0.54, 0.1
 #: What a window of two lines must score above the better of them for the line opposite to merge both.
@@ -85,19 +93,33 @@ def zh_terms(line: str) -> list[str]:
     return out
 
 
+@lru_cache(1 << 17)
+def row_of(term: str) -> int:
+    """The row of a term in its language's table."""
+    return xxhash.xxh32_intdigest(term) % TERMS
+
+
 class Vectors:
-    """Vectors of both languages' terms and the weights of terms."""
+    """Vectors of both languages' terms and the weights of terms, by their rows."""
 
-    def __init__(self, left: list[str], right: list[str], a: np.ndarray, b: np.ndarray, weights: tuple[dict, dict]) -> None:
-        self.a = {t: v for t, v in zip(left, a)}
-        self.b = {t: v for t, v in zip(right, b)}
+    def __init__(self, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> None:
+        self.place = tuple(self._index(rows) for rows in (left, right))
+        width = a.shape[1] if len(a) else 1
+        # The last row, of zeros, stands for terms without a vector.
+        self.vectors = tuple(np.vstack([v.reshape(-1, width), np.zeros((1, width))]).astype(np.float32) for v in (a, b))
         self.weights = weights
-        self.blank = np.zeros(a.shape[1] if len(a) else 1, np.float32)
+
+    @staticmethod
+    def _index(rows: np.ndarray) -> np.ndarray:
+        index = np.full(TERMS, -1, np.int32)
+        index[rows] = np.arange(len(rows))
+        return index
+
+    def of(self, side: int, terms: list[str]) -> np.ndarray:
+        return self.vectors[side][self.place[side][[row_of(t) for t in terms]]]
 
     def cosines(self, left: list[str], right: list[str]) -> np.ndarray:
-        x = np.stack([self.a.get(t, self.blank) for t in left])
-        y = np.stack([self.b.get(t, self.blank) for t in right])
-        sim = x @ y.T
+        sim = self.of(0, left) @ self.of(1, right).T
         sim[sim < LEAST_COSINE] = 0
         place = {t: j for j, t in enumerate(right)}
         for i, t in enumerate(left):
@@ -108,7 +130,7 @@ class Vectors:
     def weight(self, side: int, term: str) -> float:
         if term[0] == "#":
             return 2.5 if len(term) > 2 else 0.7
-        return self.weights[side].get(term, 4.0)
+        return float(self.weights[side][row_of(term)])
 
 
 def _blend(forth, back):
@@ -225,100 +247,142 @@ def document_pairs(sources: DataFrame, candidates: DataFrame, gold: DataFrame) -
 
 
 def _counts(units: DataFrame) -> DataFrame:
-    """(s, c, n): in how many paired units two terms stand together; s or c is empty for a term alone."""
+    """(s, c, n): the joint weight of two terms' rows over the paired units; s or c is -1 for a term alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Terms are numbered as they come; row and column 0 count a term alone.
-        rows, columns = {"": 0}, {"": 0}
-        table = np.zeros((1024, 1024), np.float32)
+        rows: dict[int, int] = {-1: 0}
+        columns: dict[int, int] = {-1: 0}
+        table = np.zeros((TABLE + 1, TABLE + 1), np.float32)
+
+        def flush() -> pa.RecordBatch:
+            i, j = np.nonzero(table[: len(rows), : len(columns)])
+            s, c = np.array(list(rows)), np.array(list(columns))
+            keep = (i > 0) | (j > 0)
+            return pa.RecordBatch.from_arrays([pa.array(s[i[keep]], pa.int32()), pa.array(c[j[keep]], pa.int32()), pa.array(table[i[keep], j[keep]].astype(np.float64))], ["s", "c", "n"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = [0, *(rows.setdefault(t, len(rows)) for t in {t for t in vi_terms(a) if t[0] != "#"})]
-                y = [0, *(columns.setdefault(t, len(columns)) for t in {t for t in zh_terms(b) if t[0] != "#"})]
-                grown = [max(size, 1 << (len(names) - 1).bit_length()) for size, names in zip(table.shape, (rows, columns))]
-                if tuple(grown) != table.shape:
-                    table = np.pad(table, [(0, n - o) for n, o in zip(grown, table.shape)])
+                x = sorted({row_of(t) for t in vi_terms(a) if t[0] != "#"})
+                y = sorted({row_of(t) for t in zh_terms(b) if t[0] != "#"})
                 # A short unit says more about its terms than a long one.
-                table[np.ix_(x, y)] += 1.0 / max(1, len(x) - 1, len(y) - 1)
-        i, j = np.nonzero(table)
-        s, c = np.array(list(rows), object), np.array(list(columns), object)
-        keep = (i > 0) | (j > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(s[i[keep]], pa.string()), pa.array(c[j[keep]], pa.string()), pa.array(table[i[keep], j[keep]].astype(np.float64))], ["s", "c", "n"])
-
-    return arrow_map(units, count, "s string, c string, n double").groupBy("s", "c").agg(F.sum("n").alias("n"))
+                weight = 1.0 / max(1, len(x), len(y))
+                for k in range(0, max(len(x), 1), TABLE):
+                    for m in range(0, max(len(y), 1), TABLE):
+                        part_x, part_y = x[k : k + TABLE], y[m : m + TABLE]
+                        if len(rows) + len(part_x) > TABLE or len(columns) + len(part_y) > TABLE:
+                            if sum(t not in rows for t in part_x) + len(rows) > TABLE + 1 or sum(t not in columns for t in part_y) + len(columns) > TABLE + 1:
+                                yield flush()
+                                rows, columns = {-1: 0}, {-1: 0}
+                                table[:] = 0
+                        i = [rows.setdefault(t, len(rows)) for t in part_x]
+                        j = [columns.setdefault(t, len(columns)) for t in part_y]
+                        table[np.ix_(i, j)] += weight
+                        # A term alone counts once, whatever parts a long unit has.
+                        if m == 0:
+                            table[i, 0] += weight
+                        if k == 0:
+                            table[0, j] += weight
+        yield flush()
+
+    return arrow_map(units, count, "s int, c int, n double").groupBy("s", "c").agg(F.sum("n").alias("n"))
 
 
 def decompose(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int], rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows and of the columns of a sparse matrix, from its leading singular vectors."""
+    """Unit vectors of the rows and of the columns of a sparse matrix, from its leading singular vectors.
+
+    A random projection, sharpened by power steps, spans the leading singular vectors; where the matrix has no
+    more dimensions than the projection, that is the whole decomposition.
+    """
     if not len(values):
         return np.zeros((shape[0], 1)), np.zeros((shape[1], 1))
-    if max(shape) <= DENSE:
-        matrix = np.zeros(shape, np.float32)
-        matrix[rows, columns] = values
-        u, sv, vt = np.linalg.svd(matrix, full_matrices=False)
-    else:
-
-        def times(i: np.ndarray, j: np.ndarray, size: int, x: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(i, weights=values * x[j, k], minlength=size) for k in range(x.shape[1])], axis=1)
-
-        # A random projection, sharpened by two power steps, spans the leading singular vectors.
-        basis = np.random.default_rng(7).standard_normal((shape[1], min(rank + 20, *shape)))
-        for _ in range(3):
-            basis, _ = np.linalg.qr(times(rows, columns, shape[0], basis))
-            onto = times(columns, rows, shape[1], basis)
-            basis_next, _ = np.linalg.qr(onto)
-            left_basis, basis = basis, basis_next
-        small = times(columns, rows, shape[1], left_basis).T
-        inner, sv, vt = np.linalg.svd(small, full_matrices=False)
-        u = left_basis @ inner
+
+    def product(i: np.ndarray, j: np.ndarray, size: tuple[int, int]):
+        """Multiplies the matrix with entries at (i, j) from the left: densely in strips of rows where that is less work."""
+        order = np.argsort(i, kind="stable")
+        i, j, v = i[order], j[order], values[order]
+        if len(v) * 25 >= size[0] * size[1]:
+            strip = max(1, (1 << 24) // size[1])
+            edges = np.searchsorted(i, np.arange(0, size[0] + strip, strip))
+
+            def dense(x: np.ndarray) -> np.ndarray:
+                out = np.empty((size[0], x.shape[1]), np.float32)
+                for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                    part = np.zeros((min(strip, size[0] - k * strip), size[1]), np.float32)
+                    part[i[lo:hi] - k * strip, j[lo:hi]] = v[lo:hi]
+                    out[k * strip : k * strip + len(part)] = part @ x.astype(np.float32)
+                return out
+
+            return dense
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+
+        def sparse(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((size[0], x.shape[1]))
+            for k in range(0, x.shape[1], 32):
+                out[i[first], k : k + 32] = np.add.reduceat(v[:, None] * x[j, k : k + 32], first, axis=0)
+            return out
+
+        return sparse
+
+    forth, back = product(rows, columns, shape), product(columns, rows, shape[::-1])
+    basis = np.random.default_rng(7).standard_normal((shape[1], min(rank + OVER, *shape)))
+    for _ in range(STEPS):
+        left_basis, _ = np.linalg.qr(forth(basis))
+        basis, _ = np.linalg.qr(back(left_basis))
+    inner, sv, vt = np.linalg.svd(back(left_basis).T, full_matrices=False)
     rank = min(rank, len(sv))
-    a, b = u[:, :rank] * np.sqrt(sv[:rank]), vt[:rank].T * np.sqrt(sv[:rank])
+    a, b = (left_basis @ inner)[:, :rank] * np.sqrt(sv[:rank]), vt[:rank].T * np.sqrt(sv[:rank])
     return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6), b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-6)
 
 
+def _columns(rows: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns as arrays, read batch by batch."""
+    table = rows.select(*names).toArrow()
+    return [table.column(n).to_numpy() for n in names]
+
+
 def learn_vectors(units: DataFrame, lines: DataFrame) -> Vectors:
-    """Vectors from the paired units (a, b) by decomposition; weights from how many lines hold a term."""
-    counts = _counts(units).persist()
-    # Two closed vocabularies; their size is checked before anything comes to the driver.
-    terms = counts.where("c = '' or s = ''").count()
-    if terms > MOST_TERMS:
-        raise ValueError(f"{terms} terms: not the vocabulary of two languages")
-    table = counts.where("n > 0.04 or c = '' or s = ''").toPandas()
-    alone_s = table[table.c == ""].set_index("s").n
-    alone_c = table[table.s == ""].set_index("c").n
-    both = table[(table.c != "") & (table.s != "")]
-    left, right = sorted(alone_s.index), sorted(alone_c.index)
-    ls, rc = {t: i for i, t in enumerate(left)}, {t: i for i, t in enumerate(right)}
-    expected = np.sqrt(alone_s.loc[both.s].to_numpy() * alone_c.loc[both.c].to_numpy())
-    values = (both.n.to_numpy() / np.maximum(expected, 1e-9)) ** 2
-    a, b = decompose(both.s.map(ls).to_numpy(np.int64), both.c.map(rc).to_numpy(np.int64), values, (len(left), len(right)))
+    """Vectors from the paired units (a, b) by decomposition; weights from how many lines hold a term.
+
+    The associations that come to the driver are those of two tables of TERMS rows, without the pairs that
+    stand together by chance; they depend on the two vocabularies and not on how many texts there are.
+    """
+    counts = keep(_counts(units))
+    alone_s, alone_c = counts.where("c = -1").select("s", F.col("n").alias("n_s")), counts.where("s = -1").select("c", F.col("n").alias("n_c"))
+    both = counts.where("s >= 0 and c >= 0").join(F.broadcast(alone_s), "s").join(F.broadcast(alone_c), "c")
+    value = F.col("n") / F.sqrt(F.col("n_s") * F.col("n_c"))
+    s, c, values = _columns(both.where(value >= LEAST_ASSOCIATION).select("s", "c", (value * value).alias("value")).orderBy("s", "c"), "s", "c", "value")
+    (left,), (right,) = _columns(alone_s.orderBy("s"), "s"), _columns(alone_c.orderBy("c"), "c")
+    a, b = decompose(np.searchsorted(left, s), np.searchsorted(right, c), values, (len(left), len(right)))
 
     def held(side, text, _):
         cut = vi_terms if side == 0 else zh_terms
         for line in text.split("\n"):
             for t in {t for t in cut(line) if t[0] != "#"}:
-                yield (side, t)
+                yield side, row_of(t)
 
     sides = lines.select(F.lit(0).alias("side"), F.col("a").alias("text"), "src").distinct().unionByName(lines.select(F.lit(1).alias("side"), F.col("b").alias("text"), F.col("tgt").alias("src")).distinct())
-    frequency = flat_map(sides, held, "side int, term string").groupBy("side", "term").count().toPandas()
-    total = {side: max(1, int(part["count"].max())) * 4 for side, part in frequency.groupby("side")}
-    weights = tuple({t: float(np.log(1 + total[side] / n)) for t, n in zip(part.term, part["count"])} for side in (0, 1) for part in [frequency[frequency.side == side]])
-    return Vectors(left, right, a.astype(np.float32), b.astype(np.float32), weights)
+    side, row, n = _columns(flat_map(sides, held, "side int, row int").groupBy("side", "row").count(), "side", "row", "count")
+    weights = (np.full(TERMS, 4.0, np.float32), np.full(TERMS, 4.0, np.float32))
+    for k, table in enumerate(weights):
+        if (mine := side == k).any():
+            table[row[mine]] = np.log(1 + 4 * max(1, int(n[mine].max())) / n[mine])
+    return Vectors(left, right, a, b, weights)
 
 
 def aligned_lines(sources: DataFrame, candidates: DataFrame, gold: DataFrame, table: DataFrame, rounds: int = 2) -> DataFrame:
     """(tgt, tgt_line, src, src_line, score) of the lines that translate each other."""
-    pairs = document_pairs(sources, candidates, gold).persist()
+    pairs = keep(document_pairs(sources, candidates, gold))
     entries = table.where("tgt <> ''").select(F.col("src_norm").alias("a"), F.col("tgt").alias("b"))
     units = entries.unionByName(pairs.select("a", "b"))
     found = None
     for turn in range(rounds):
-        vectors = learn_vectors(units, pairs)
+        shared = pairs.sparkSession.sparkContext.broadcast(learn_vectors(units, pairs))
         last = turn == rounds - 1
 
-        def match(src, tgt, a, b, vectors=vectors, last=last):
+        def match(src, tgt, a, b, shared=shared, last=last):
             rows_a, rows_b = a.split("\n"), b.split("\n")
-            for i, j, s in align(a, b, vectors, LEAST_SCORE if last else LEAST_SCORE + 0.05):
+            for i, j, s in align(a, b, shared.value, LEAST_SCORE if last else LEAST_SCORE + 0.05):
                 yield tgt, j, src, i, s, None if last else rows_a[i - 1], None if last else rows_b[j - 1]
 
         schema = "tgt string, tgt_line bigint, src string, src_line bigint, score double, a string, b string"

@@ -142,8 +142,10 @@ def test_alignment_permits_reordering(spark, data):
 
 def test_line_merged_without_a_joint_gives_both_pairs():
     names = "a b c d e f g h i j k l m n o p q r s t".split()
-    vectors = bilingual.Vectors(names, [chr(0x4E00 + 100 + k) for k in range(20)], np.eye(20, dtype=np.float32), np.eye(20, dtype=np.float32), ({}, {}))
-    han = dict(zip(names, vectors.b))
+    signs = [chr(0x4E00 + 100 + k) for k in range(20)]
+    even = np.full(bilingual.TERMS, 4.0, np.float32)
+    vectors = bilingual.Vectors([bilingual.row_of(t) for t in names], [bilingual.row_of(t) for t in signs], np.eye(20), np.eye(20), (even, even))
+    han = dict(zip(names, signs))
 
     def zh(words):
         return "".join(han.get(w, w) for w in words.split())
@@ -161,13 +163,24 @@ def test_random_projection_agrees_with_full_decomposition():
     rng = np.random.default_rng(1)
     low = rng.standard_normal((60, 4)) @ rng.standard_normal((4, 50))
     i, j = np.nonzero(np.ones_like(low))
-    full = bilingual.decompose(i, j, low.ravel(), low.shape, 4)
-    limit, bilingual.DENSE = bilingual.DENSE, 10
+    u, sv, vt = np.linalg.svd(low, full_matrices=False)
+    full = [m[:, :4] * np.sqrt(sv[:4]) for m in (u, vt.T)]
+    full = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in full]
+    over, bilingual.OVER = bilingual.OVER, 6
     try:
-        other = bilingual.decompose(i, j, low.ravel(), low.shape, 4)
+        # Held in strips, and by its entries where most of it is empty.
+        made = [bilingual.decompose(i, j, low.ravel(), low.shape, 4), bilingual.decompose(i * 30, j * 30, low.ravel(), (1800, 1500), 4)]
     finally:
-        bilingual.DENSE = limit
-    assert np.allclose(full[0] @ full[1].T, other[0] @ other[1].T, atol=1e-3)
+        bilingual.OVER = over
+    assert np.allclose(full[0] @ full[1].T, made[0][0] @ made[0][1].T, atol=1e-3)
+    assert np.allclose(full[0] @ full[1].T, made[1][0][::30] @ made[1][1][::30].T, atol=1e-3)
+
+
+def test_counts_are_the_same_in_small_tables(spark):
+    units = spark.createDataFrame([("một hai ba bốn", "一二三四"), ("hai ba năm", "二三五六七"), ("", "八")], "a string, b string")
+    whole = {(r.s, r.c): round(r.n, 5) for r in bilingual._counts(units).collect()}
+    rows = [bilingual.row_of(t) for t in ("hai", "三")]
+    assert whole[rows[0], rows[1]] == round(1 / 4 + 1 / 5, 5) == whole[rows[0], -1]
 
 
 # --- 5 --------------------------------------------------------------------------------------
