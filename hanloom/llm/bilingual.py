@@ -127,10 +127,12 @@ class Vectors:
                 sim[i, place[t]] = 1
         return np.minimum(sim, 1)
 
-    def weight(self, side: int, term: str) -> float:
-        if term[0] == "#":
-            return 2.5 if len(term) > 2 else 0.7
-        return float(self.weights[side][row_of(term)])
+    def weight(self, side: int, terms: list[str]) -> np.ndarray:
+        rows = self.weights[side][[row_of(t) for t in terms]]
+        for i, t in enumerate(terms):
+            if t[0] == "#":
+                rows[i] = 2.5 if len(t) > 2 else 0.7
+        return rows
 
 
 def _blend(forth, back):
@@ -145,15 +147,19 @@ class Coverage:
         sim = vectors.cosines(ta, tb)
         ia, ib = {t: i for i, t in enumerate(ta)}, {t: i for i, t in enumerate(tb)}
 
-        def one(rows, row_index, columns, column_index, table, side):
-            weight = np.zeros((len(rows), len(row_index)), np.float32)
+        places = [[sorted({index[t] for t in x}) for x in lines] for lines, index in ((lines_a, ia), (lines_b, ib))]
+
+        def one(rows, terms, columns, table, side):
+            own = vectors.weight(side, terms)
+            weight = np.zeros((len(rows), len(terms)), np.float32)
             for i, x in enumerate(rows):
-                for t in set(x):
-                    weight[i, row_index[t]] = vectors.weight(side, t)
-            return weight, np.stack([table[:, sorted({column_index[t] for t in y})].max(axis=1) for y in columns], axis=1)
+                weight[i, x] = own[x]
+            flat = np.concatenate([np.array(y) for y in columns])
+            starts = np.cumsum([0, *map(len, columns[:-1])])
+            return weight, np.maximum.reduceat(np.ascontiguousarray(table.T)[flat], starts, axis=0).T
 
         # For each side: the weights (line, term) and the best cosine of (term, line of the other side).
-        self.sides = one(lines_a, ia, lines_b, ib, sim, 0), one(lines_b, ib, lines_a, ia, sim.T, 1)
+        self.sides = one(places[0], ta, places[1], sim, 0), one(places[1], tb, places[0], sim.T, 1)
 
     def scores(self) -> np.ndarray:
         """The score of each line of a with each line of b."""

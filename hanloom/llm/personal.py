@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import cut_lineage, keep
 from .common import flat_map, per_task
 
 # Forms of entities in the four languages of the corpus.
@@ -350,28 +350,28 @@ def _without_overlaps(spans: DataFrame, key: str) -> DataFrame:
 def personal_spans(rows: DataFrame, key: str = "doc_id", rounds: int = 3) -> DataFrame:
     """(key, kind, start_pos, end_pos) of all personal information."""
     evidence = keep(_evidence(rows, key))
-    discovered = keep(discovered_numbers(evidence, key))
+    discovered = cut_lineage(discovered_numbers(evidence, key))
     seeds = evidence.where("left is null").select(key, "kind", "start_pos", "end_pos").unionByName(discovered)
     sides = [key, "start_pos", "end_pos", "left", "right", "first", "last"]
     # Discovered numbers are seeds in turn.
     turn = discovered.select(key, F.col("start_pos").alias("start"), F.concat(F.lit("<"), "kind", F.lit(">")).alias("mark"))
     near = evidence.where("kind = 'near'").join(turn, [key, "start"])
     near = near.withColumns({side: F.replace(F.col(side), F.lit("<number>"), F.col("mark")) for side in ("left", "right")})
-    contexts = evidence.where("kind = 'name'").select(*sides).unionByName(near.select(*sides)).distinct()
+    contexts = keep(evidence.where("kind = 'name'").select(*sides).unionByName(near.select(*sides)).distinct())
     # First round: a pattern is both sides together; variety of the first and last parts is its score.
     patterns = contexts.groupBy("left", "right").agg(F.count_distinct("first").alias("firsts"), F.count_distinct("last").alias("lasts"))
     accepted = patterns.where(_variety()).select("left", "right", F.least("firsts", "lasts").cast("double").alias("score"))
     matched = contexts.join(accepted, ["left", "right"])
     names = _without_overlaps(matched.groupBy(key, "start_pos", "end_pos").agg(F.max("score").alias("score")), key)
     if rounds > 1:
-        first = keep(names)
+        first = cut_lineage(names)
         cues = trusted_cues(contexts, first, key)
         # Second round: trusted words take names beside seeds whatever joins them; the first round goes before.
         more = _announced(contexts).join(cues, ["cue", "next"], "left_semi").select(key, "start_pos", "end_pos").distinct()
         names = first.withColumn("score", F.lit(2.0)).unionByName(more.withColumn("score", F.lit(1.0)))
         names = _without_overlaps(names.groupBy(key, "start_pos", "end_pos").agg(F.max("score").alias("score")), key)
     if rounds > 2:
-        second = keep(names)
+        second = cut_lineage(names)
         names = second.unionByName(names_anywhere(rows, cues, second, key))
     return seeds.unionByName(names.select(key, F.lit("name").alias("kind"), "start_pos", "end_pos"))
 

@@ -177,10 +177,16 @@ def test_random_projection_agrees_with_full_decomposition():
 
 
 def test_counts_are_the_same_in_small_tables(spark):
-    units = spark.createDataFrame([("một hai ba bốn", "一二三四"), ("hai ba năm", "二三五六七"), ("", "八")], "a string, b string")
+    units = spark.createDataFrame([("một hai ba bốn", "天地國民"), ("hai ba năm", "地國大水路"), ("", "兵")], "a string, b string")
     whole = {(r.s, r.c): round(r.n, 5) for r in bilingual._counts(units).collect()}
-    rows = [bilingual.row_of(t) for t in ("hai", "三")]
+    rows = [bilingual.row_of(t) for t in ("hai", "國")]
     assert whole[rows[0], rows[1]] == round(1 / 4 + 1 / 5, 5) == whole[rows[0], -1]
+    # A table of two terms gives the same sums.
+    size, bilingual.TABLE = bilingual.TABLE, 2
+    try:
+        assert {(r.s, r.c): round(r.n, 5) for r in bilingual._counts(units).collect()} == whole
+    finally:
+        bilingual.TABLE = size
 
 
 # --- 5 --------------------------------------------------------------------------------------
