@@ -3,12 +3,13 @@
 Running headers and page numbers are recognised by form and repetition, and words broken at a
 line's end are put together.  Misrecognised characters are found in context.
 
-Words: every word of the corpus has a dense skip-gram vector, the sum of fixed random vectors of the
-words around it (a random projection of its skip-gram counts, so it is learnt from all texts by
-addition alone).  Words that glyph confusions can turn into each other share a skeleton, in which
-each letter is spelt by the strokes it can be taken for; a word of a scan is linked to the more
-frequent words of its skeleton.  How much more frequent one is, and how much better its vector fits
-the words around this occurrence than the vector of what was read, decide together.
+Words that glyph confusions can turn into each other share a skeleton, in which each letter is spelt
+by the strokes it can be taken for; a word of a scan is linked to the more frequent words of its
+skeleton.  How much more frequent one is, and how much better its vector fits the words around this
+occurrence than the vector of what was read, decide together.  A word's dense skip-gram vector is the
+sum of fixed random vectors of the words around it (a random projection of its skip-gram counts, so
+it is learnt from all texts by addition alone); vectors are learnt for all linked words which
+frequency leaves open.
 
 Han characters: each that glyph confusions can change has the explicit counts of its positional
 contexts as its vector, and is corrected where the contexts of the glyph it is taken for fit better.
@@ -38,13 +39,15 @@ GLYPHS = [("li", "h"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv"
 HAN_GLYPHS = dict(zip("入犬便日乒域賦艮宮侖卒晝末土巳干王間烏甲遺", "人大使曰兵城賊民官命率書未士己千玉問鳥申遣"))
 
 #: A word is garbled when frequency and context together say so: a neighbour this many times as frequent counts
-#: 1, and so does a cosine to the words around that is greater by 1 / CONTEXT; a sign between letters counts SIGN.
+#: 1, and so does a cosine to the words around that is greater by 1; a sign between letters counts SIGN.
 RATIO = 12
-CONTEXT, SIGN = 1.0, 0.6
+SIGN = 0.6
 #: A vector of this many occurrences counts half.
 FEW = 2
 #: Dimensions of a word's vector, and random vectors that context words are hashed to.
-WIDTH, ROWS = 64, 4096
+WIDTH, ROWS = 32, 4096
+#: Bits for each word of the filter of words whose vectors are wanted, and its least and greatest size.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
 #: A Han character is garbled when its contexts favour the neighbour by this much (natural logarithm).
 MARGIN = 3.0
 
@@ -300,106 +303,149 @@ def han_counts(texts: DataFrame) -> DataFrame:
     return arrow_map(texts.select("text"), count, "context string, unit string, n bigint").groupBy("context", "unit").agg(F.sum("n").alias("n"))
 
 
-def word_vectors(texts: DataFrame) -> DataFrame:
-    """(word, n, vec): every word of the texts with its count and its skip-gram vector; the word '' holds the sum of all."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(seen: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(_WORD.findall(text if text.isascii() else unicodedata.normalize("NFC", text)))
+            if len(seen) > 300_000:
+                yield flush(seen)
+                seen = Counter()
+        if seen:
+            yield flush(seen)
+
+    return arrow_map(texts.select("text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def mean_context(counts: DataFrame) -> np.ndarray:
+    """The mean of the contexts of all words: each word stands in those of four others."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total, n = _projection(), np.zeros(WIDTH), 0
+        for batch in batches:
+            if batch.num_rows:
+                weights = batch.column(1).to_numpy()
+                total += weights @ table[[_row(w) for w in batch.column(0).to_pylist()]]
+                n += int(weights.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "total"])
+
+    # One row of fixed size for each partition.
+    total, n = np.zeros(WIDTH), 0
+    for part in arrow_map(counts.select("word", "n"), add, "n bigint, total array<double>").toLocalIterator():
+        total, n = total + np.array(part.total), n + part.n
+    return 4 * total / max(n, 1)
+
+
+def _bit(word: str, bits: int) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> (64 - bits)
+
+
+def word_filter(words: DataFrame) -> tuple[int, bytes]:
+    """(log2 of its bits, the filter) of the words (word); a filter that is full lets all words pass, which costs time only."""
+    bits = (min(max(BITS_EACH * words.count(), LEAST_BITS), MOST_BITS) - 1).bit_length()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                table[_bit(word, bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
+
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for part in arrow_map(words.coalesce(8), fill, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(part.bits, np.uint8)
+    return bits, whole.tobytes()
+
+
+def word_vectors(texts: DataFrame, wanted: tuple[int, bytes]) -> DataFrame:
+    """(word, vec): the sums of the contexts of the words that pass the filter ``wanted``, over all texts."""
+    bits, packed = wanted
+    shared = texts.sparkSession.sparkContext.broadcast(packed)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _projection()
-        numbers: dict[str, int] = {"": 0}
-        sums, counts = np.zeros((1024, WIDTH), np.float32), np.zeros(1024, np.int64)
+        table = np.vstack([_projection(), np.zeros((1, WIDTH), np.float32)])
+        passes = shared.value
+        numbers: dict[str, int] = {}  # the number of a word, -1 if it is not wanted
+        names: list[str] = []
+        sums = np.zeros((1024, WIDTH), np.float32)
 
         def flush() -> pa.RecordBatch:
-            n = len(numbers)
-            sums[0], counts[0] = sums[1:n].sum(axis=0), counts[1:n].sum()
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums[:n].ravel()), WIDTH).cast(pa.list_(pa.float32()))
-            return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(counts[:n]), vectors], ["word", "n", "vec"])
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums[: len(names)].ravel()), WIDTH).cast(pa.list_(pa.float32()))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), vectors], ["word", "vec"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                ids: list[int] = []
-                rows: list[int] = []
+                at: list[int] = []
+                near: list[list[int]] = []
                 for text in batch.column(0).slice(start, 256).to_pylist():
                     if not text:
                         continue
                     words = _WORD.findall(text if text.isascii() else unicodedata.normalize("NFC", text))
-                    if words:
-                        # Two blanks between texts keep their words apart.
-                        ids += [*(numbers.setdefault(w, len(numbers)) for w in words), 0, 0]
-                        rows += [*map(_row, words), ROWS, ROWS]
-                if not ids:
-                    continue
-                if len(numbers) > len(sums):
-                    grown = 1 << (len(numbers) - 1).bit_length()
-                    sums, counts = np.pad(sums, [(0, grown - len(sums)), (0, 0)]), np.pad(counts, (0, grown - len(counts)))
-                at, random = np.array(ids), np.vstack([table, np.zeros((1, WIDTH), np.float32)])[np.array(rows)]
-                near = np.zeros_like(random)
-                for shift in (1, 2):
-                    near[shift:] += random[:-shift]
-                    near[:-shift] += random[shift:]
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                sums[at[order][first]] += np.add.reduceat(near[order], first, axis=0)
-                np.add.at(counts, at, 1)
-            if len(numbers) > 200_000:
+                    for k, word in enumerate(words):
+                        if (number := numbers.get(word)) is None:
+                            place = _bit(word, bits)
+                            number = -1
+                            if passes[place >> 3] >> (7 - (place & 7)) & 1:
+                                number = len(names)
+                                names.append(word)
+                            numbers[word] = number
+                        if number >= 0:
+                            around = _around(words, k)
+                            at.append(number)
+                            near.append(around + [ROWS] * (4 - len(around)))
+                if at:
+                    if len(names) > len(sums):
+                        sums = np.pad(sums, [(0, (1 << (len(names) - 1).bit_length()) - len(sums)), (0, 0)])
+                    np.add.at(sums, np.array(at), table[np.array(near)].sum(axis=1))
+            if len(numbers) > 300_000:
                 yield flush()
-                numbers = {"": 0}
-                sums, counts = np.zeros((1024, WIDTH), np.float32), np.zeros(1024, np.int64)
+                numbers, names, sums = {}, [], np.zeros((1024, WIDTH), np.float32)
         yield flush()
 
-    parts = arrow_map(texts.select("text"), learn, "word string, n bigint, vec array<float>")
+    parts = arrow_map(texts.select("text"), learn, "word string, vec array<float>")
+    summed = [F.sum(F.col("vec")[i]).alias(f"v{i}") for i in range(WIDTH)]
+    return parts.groupBy("word").agg(*summed).select("word", F.array(*[F.col(f"v{i}") for i in range(WIDTH)]).alias("vec"))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of one word follow each other.
-        word, n, total = None, 0, np.zeros(WIDTH, np.float32)
-        out: list[tuple] = []
 
-        def made() -> pa.RecordBatch:
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([v for _, _, v in out]) if out else np.zeros(0, np.float32)), WIDTH).cast(pa.list_(pa.float32()))
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in out], pa.string()), pa.array([k for _, k, _ in out], pa.int64()), vectors], ["word", "n", "vec"])
+def linked_words(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, meant, n, meant_n, prior): each distinct word with the more frequent ones that glyphs link it to.
 
-        for batch in batches:
-            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-            for i, (w, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if w != word:
-                    if word is not None:
-                        out.append((word, n, total))
-                    word, n, total = w, 0, np.zeros(WIDTH, np.float32)
-                n, total = n + k, total + vectors[i]
-            if len(out) > 20_000:
-                yield made()
-                out = []
-        if word is not None:
-            out.append((word, n, total))
-        yield made()
-
-    return arrow_map(parts.repartition("word").sortWithinPartitions("word"), add, "word string, n bigint, vec array<float>")
-
-
-def linked_words(words: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(word, meant, n, meant_n, vec, meant_vec): each distinct word with the more frequent ones that glyphs link it to."""
-    spelt = flat_map(vectors.where("word <> ''"), lambda w, n, v: [(skeleton(w), w, n, v)], "skeleton string, word string, n bigint, vec array<float>")
+    ``prior`` is what frequency, and a sign between letters, say for ``meant``.
+    """
+    spelt = flat_map(counts, lambda w, n: [(skeleton(w), w, n)], "skeleton string, word string, n bigint")
     mine = spelt.join(words.select("word").distinct(), "word", "left_semi")
-    other = spelt.select("skeleton", F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("vec").alias("meant_vec"))
+    other = spelt.select("skeleton", F.col("word").alias("meant"), F.col("n").alias("meant_n"))
     pairs = mine.join(other, "skeleton").where("word <> meant and meant_n > n and meant_n > 2")
 
-    def possible(w, m, n, k, v, u):
-        return [(w, m, n, k, v, u)] if edits(w, m) else []
+    def possible(w, m, n, k):
+        if edits(w, m):
+            yield w, m, n, k, float(np.log(k / n) / np.log(RATIO) + (SIGN if _SIGN_INSIDE.search(w) else 0.0))
 
-    return flat_map(pairs.select("word", "meant", "n", "meant_n", "vec", "meant_vec"), possible, "word string, meant string, n bigint, meant_n bigint, vec array<float>, meant_vec array<float>")
+    return flat_map(pairs.select("word", "meant", "n", "meant_n"), possible, "word string, meant string, n bigint, meant_n bigint, prior double")
 
 
-def garbled_words(words: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Occurrences of words (key, line_no, word, at, size, following, cut, near) that are misread, with what is meant."""
-    links = linked_words(words, vectors)
-    # One row, the sum over all words; their mean is taken from every vector.
-    mean = F.broadcast(vectors.where("word = ''").select(F.col("n").alias("all_n"), F.col("vec").alias("all_vec"), F.lit("").alias("one")))
-    cases = words.join(links, "word").withColumn("one", F.lit("")).join(mean, "one")
+def garbled_words(words: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
+    """Occurrences of words (key, line_no, word, at, size, following, cut) that are misread, with what is meant."""
+    counts = keep(word_counts(corpus))
+    links = keep(linked_words(words, counts))
+    mean = mean_context(counts)
+    # The context says between -1 and 1, so a prior of 2 needs no vector, and one of 0 is never enough.
+    certain = words.join(links.where("prior >= 2"), "word").withColumn("score", F.col("prior") + 1)
+    open_ = links.where("prior > 0 and prior < 2")
+    wanted = keep(open_.select("word").unionByName(open_.select(F.col("meant").alias("word"))).distinct())
+    vectors = keep(word_vectors(corpus, word_filter(wanted)).join(wanted, "word", "left_semi"))
+    held = open_.join(vectors, "word").join(vectors.toDF("meant", "meant_vec"), "meant")
     kind = dict(words.dtypes)[key]
 
-    def decide(ident, line_no, word, at, size, following, cut, near, meant, n, meant_n, vec, meant_vec, all_n, all_vec):
-        table = _projection()
-        mean = np.array(all_vec, np.float64) / max(all_n, 1)
-        own = table[near].sum(axis=0) if near else np.zeros(WIDTH)
+    def decide(ident, line_no, word, at, size, following, cut, near, meant, n, meant_n, prior, vec, meant_vec):
+        own = _projection()[near].sum(axis=0) if near else np.zeros(WIDTH)
         around = own - mean
 
         def fit(vector, count):
@@ -410,14 +456,14 @@ def garbled_words(words: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
         # The occurrence itself does not speak for what was read.
         gain = fit(meant_vec, meant_n) - (fit(np.array(vec) - own, n - 1) if n > 1 else 0.0)
-        score = np.log(meant_n / n) / np.log(RATIO) + CONTEXT * gain + (SIGN if _SIGN_INSIDE.search(word) else 0.0)
-        if score >= 1:
-            yield ident, line_no, word, at, size, following, cut, meant, float(score)
+        if (score := prior + min(1.0, max(-1.0, gain))) >= 1:
+            yield ident, line_no, word, at, size, following, cut, meant, score
 
-    columns = [key, "line_no", "word", "at", "size", "following", "cut", "near", "meant", "n", "meant_n", "vec", "meant_vec", "all_n", "all_vec"]
-    found = flat_map(cases.select(*columns), decide, f"{key} {kind}, line_no bigint, word string, at int, size int, following bigint, cut int, meant string, score double")
-    best = found.groupBy(key, "line_no", "word", "at", "size", "following", "cut").agg(F.max_by("meant", F.struct("score", "meant")).alias("meant"))
-    return best
+    columns = [key, "line_no", "word", "at", "size", "following", "cut"]
+    cases = words.join(held, "word").select(*columns, "near", "meant", "n", "meant_n", "prior", "vec", "meant_vec")
+    judged = flat_map(cases, decide, f"{key} {kind}, line_no bigint, word string, at int, size int, following bigint, cut int, meant string, score double")
+    found = judged.unionByName(certain.select(*columns, "meant", "score"))
+    return found.groupBy(*columns).agg(F.max_by("meant", F.struct("score", "meant")).alias("meant"))
 
 
 def scan_evidence(rows: DataFrame, corpus: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -427,7 +473,7 @@ def scan_evidence(rows: DataFrame, corpus: DataFrame, key: str) -> tuple[DataFra
     evidence = keep(flat_map(rows.select(key, "text", "title", "html_title"), _evidence, schema).distinct())
     layout = evidence.where("kind in ('header', 'page_no', 'hyphen')").select(key, "line_no", "kind")
     words = evidence.where("kind = 'word'").select(key, "line_no", F.col("unit").alias("word"), "at", "size", "following", "cut", "near")
-    bad_words = garbled_words(words, keep(word_vectors(corpus)), key)
+    bad_words = garbled_words(words, corpus, key)
     han = evidence.where("kind = 'han'").select(key, "line_no", "unit", "meant", "left", "right", "around", "at")
     vectors = keep(han_counts(corpus))
     distinct = han.select("unit", "meant", "left", "right", "around").distinct()
