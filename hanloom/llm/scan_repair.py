@@ -51,7 +51,7 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
 #: A Han character is garbled when its contexts favour the neighbour by this much (natural logarithm).
 MARGIN = 3.0
 
-_WORD = regex.compile(r"[\p{L}\p{M}0-9!+|]+")
+_WORD = regex.compile(r"[[\p{L}\p{M}0-9!+|]--\p{Han}]+", regex.V1)
 _SITES = regex.compile("|".join(regex.escape(a) for a in dict.fromkeys(a for a, _ in GLYPHS)))
 _SIGN_INSIDE = regex.compile(r"\p{L}[0!+1|58]|[0!+1|58]\p{L}")
 _HYPHEN = regex.compile(r"(?<=\p{L}\p{M}*)[\-‐¬­‑](?:[\s​]*)$")
@@ -262,7 +262,7 @@ def _evidence(ident, text, title, html_title):
     found = list(_WORD.finditer(joined))
     words = [unicodedata.normalize("NFC", m[0]) for m in found]
     for k, (m, word) in enumerate(zip(found, words)):
-        if len(word) > 1 and not word[0].isdigit() and _SITES.search(word) and any(c.isalpha() for c in word) and not _HAN.search(word):
+        if len(word) > 1 and not word[0].isdigit() and _SITES.search(word) and any(c.isalpha() for c in word):
             first, last = owners[m.start()], owners[m.end() - 1]
             cut = next((i for i in range(m.start(), m.end()) if owners[i] != first), m.end()) - m.start()
             yield ident, first, "word", word, None, None, None, None, m.start(), m.end() - m.start(), last, cut, _around(words, k)
