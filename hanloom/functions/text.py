@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,26 +110,27 @@ def clean_for_export(text: Column, mode: str = "light") -> Column:
     return clean_spaces(F.translate(clean_annotations(text, mode), "〇「」『』", ""))
 
 
+# What keyword text loses or gains, in this order, as (pattern, replacement).
+KEYWORD_TEXT = [
+    (r"\[[^\]]*?\]", " "),
+    (r"\([^)]*?\)", " "),
+    (r"\r\n?", "\n"),
+    (r" *\n *", "\n"),
+    (r"(?<![.!?;:])\n+", ". "),
+    (r"\n+", " "),
+    (r"[ \t]+", " "),
+    (r"\s+([,;:.!?])", "$1"),
+    (r"([!?])\.", "$1"),
+    (r"\.{2,}", "."),
+    (r"([,;:.!?])([^\s\"”’')\]])", "$1 $2"),
+    (r"^[\s.,;:!?-]+", ""),
+    (r"[\s.,;:!?-]+$", ""),
+]
+
+
 def clean_for_keywords(text: Column) -> Column:
     """Notes, line ends and punctuation brought into the form keyword extraction wants."""
-    steps = [
-        (r"\[[^\]]*?\]", " "),
-        (r"\([^)]*?\)", " "),
-        (r"\r\n?", "\n"),
-        (r" *\n *", "\n"),
-        (r"(?<![.!?;:\n])\n+", ". "),
-        (r"\n+", " "),
-        (r"[ \t]+", " "),
-        (r"\s+([,;:.!?])", "$1"),
-        (r"([!?])\.", "$1"),
-        (r"\.{2,}", "."),
-        (r"([,;:.!?])([^\s\"”’')\]])", "$1 $2"),
-        (r"^[\s.,;:!?-]+", ""),
-        (r"[\s.,;:!?-]+$", ""),
-    ]
-    for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
-    return strip(text)
+    return strip(reduce(lambda t, step: F.regexp_replace(t, *step), KEYWORD_TEXT, text))
 
 
 def signature(text: Column, chars: str = HAN) -> Column:
@@ -142,13 +145,20 @@ def is_junk(sentence: Column) -> Column:
     return ~sentence.rlike(r"[\p{L}\p{N}]")
 
 
-def sentences(text: Column, han: Column) -> Column:
-    """Sentence units; ``han`` says which rule a row takes."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^﻿+", ""), r"\r\n?", "\n"), f"[{DROPPED_QUOTES}]", "")
+def sentences(text: Column, han: Column, longest: int | None = 10_000) -> Column:
+    """Sentence units, each cut off at ``longest`` characters; ``han`` says which rule a row takes."""
+
+    def split(plain: Column) -> Column:
+        # One replacement puts a sign behind each unit, so that the text is searched and split once.
+        by_han = rf"([。！？…])[）\]\}}]*[{SPACE}]*|\n+"
+        by_latin = rf"([.!?…。！？])[{SPACE}]*|\n+"
+        return F.when(han, F.regexp_replace(plain, by_han, "$1\x01")).otherwise(F.regexp_replace(plain, by_latin, "$1\x01"))
+
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^﻿+|\x01", ""), r"\r\n?", "\n"), f"[{DROPPED_QUOTES}]", "")
     plain = strip(F.regexp_replace(plain, r"[ \t]+", " "))
-    by_han = F.split(plain, rf"(?:(?<=[。！？…])[）\]\}}]*[{SPACE}]*|\n+)", -1)
-    by_latin = F.split(plain, rf"(?:(?<=[.!?…。！？])[{SPACE}]*|\n+)", -1)
-    return F.filter(F.when(han, by_han).otherwise(by_latin), lambda s: ~is_junk(s))
+    units = F.element_at(F.transform(F.array(plain), lambda t: F.split(split(t), "\x01", -1)), 1)
+    kept = F.filter(units, lambda s: ~is_junk(s))
+    return kept if longest is None else F.transform(kept, lambda s: F.substring(s, 1, longest))
 
 
 def windows(items: Column, size: int, overlap: int, glue: str = " ") -> Column:
@@ -163,13 +173,20 @@ def ngrams(text: Column, n: int) -> Column:
     """The set of runs of ``n`` code points; a shorter text is its own only run, an empty one has none."""
 
     def of(t: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        # Split into characters once; a run joins neighbours, so the work is linear in the length.
+        chars = F.filter(F.split(t, ""), lambda c: c != "")
+        runs = F.element_at(F.transform(F.array(chars), lambda cs: F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]))), 1)
         return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(F.array_distinct(runs))
 
     # Bound to a variable, so that the expression behind ``text`` is evaluated once and not for each run.
     return F.element_at(F.transform(F.array(text), of), 1)
 
 
+def gram_hashes(text: Column, n: int) -> Column:
+    """The set of runs as sorted 64-bit hashes, which is what is compared and shuffled."""
+    return F.array_sort(F.transform(ngrams(text, n), lambda g: F.xxhash64(g)))
+
+
 def safe_filename(name: Column, longest: int = 120) -> Column:
     """A name that file systems accept."""
     name = F.regexp_replace(nfkc(F.coalesce(name, F.lit("unknown"))), r"[\x00-\x1f\x7f]", "")
@@ -181,3 +198,26 @@ def safe_filename(name: Column, longest: int = 120) -> Column:
 def normal_phrase(phrase: Column) -> Column:
     """Lower case, underscores and white space as single blanks."""
     return strip(F.regexp_replace(F.regexp_replace(F.lower(phrase), "_", " "), f"[{SPACE}]+", " "))
+
+
+def unit_form(phrase: Column) -> Column:
+    """A phrase as one unit: white space as underscores."""
+    return F.regexp_replace(strip(phrase), f"[{SPACE}]+", "_")
+
+
+# Names of sites at the end of a page title.
+SITE_SUFFIX = r"(?i)\s*[-_｜|]\s*(?:Wikisource|Chinese Text Project|中國哲學書電子化計劃).*$"
+
+
+def without_site(title: Column) -> Column:
+    return F.regexp_replace(strip(title), SITE_SUFFIX, "")
+
+
+def size_in_bytes(text: str | None) -> int | None:
+    """The number of bytes of a size such as 500000, 500KB or 1.5G, to the base 1024; None for a blank one."""
+    if text is None or not text.strip():
+        return None
+    found = re.fullmatch(r"(\d+(?:\.\d+)?)\s*(?:([kmgt])b?|b|bytes?)?", text.strip().lower())
+    if not found:
+        raise ValueError(f"not a size: {text!r}")
+    return int(float(found[1]) * 1024 ** (" kmgt".index(found[2]) if found[2] else 0))

@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Parameters that only track the visitor.
 TRACKING = r"^(?:utm_.*|fbclid|gclid|yclid)$"
+_TRACKING = re.compile(TRACKING)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://")
+
+
+def plain_address(url: str | None) -> str | None:
+    """Lower scheme and host, no fragment, tracking parameters or trailing slash; https by default; escapes in one spelling."""
+    if url is None or not (url := url.strip()):
+        return url
+    if not _SCHEME.match(url):
+        url = "https://" + url  # an address without a scheme begins with its host
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return url
+    path = quote(unquote(parts.path).rstrip("/"), safe="/:%")
+    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not _TRACKING.match(k.lower())]
+    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), path, urlencode(kept), ""))
 
 
 def canonical(url: Column) -> Column:
-    """Lower scheme and host, no fragment, tracking parameters or trailing slash; https by default."""
-    url = F.regexp_replace(F.trim(url), "#.*$", "")
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
-    place, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"\?(.*)$", 1)
-    host, path = F.lower(F.regexp_extract(place, r"^([^/]*)", 1)), F.regexp_replace(F.regexp_extract(place, r"^[^/]*(/.*)?$", 1), "/+$", "")
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).rlike(TRACKING))
-    joined = F.array_join(kept, "&")
-    made = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit("://"), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
-    return F.when(url.isNull(), F.lit(None)).when(url == "", "").otherwise(made)
+    """``plain_address`` of each url; there is no built-in that decodes and encodes by these rules."""
+    from pyspark.sql import SparkSession
+
+    from ..session import ship
+
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
+    def each(urls: pd.Series) -> pd.Series:
+        return urls.map(plain_address)
+
+    return F.pandas_udf(each, StringType())(url)
 
 
 def early_stop_key(url: Column) -> Column:

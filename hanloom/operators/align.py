@@ -1,8 +1,7 @@
 """Retrieval, reranking, hubness correction and matching of documents by their segments' vectors.
 
-Segments are rows (doc, chunk, vec array<double>).  Exact neighbour search streams the target
-segments past blocks of the query segments, so that neither side is paired with the other in a
-join; everything after it is relational.
+Segments are rows (doc, chunk, vec array<double>).  Exact neighbour search compares groups of segments
+by matrix products on the executors; everything after it is relational.
 """
 
 from __future__ import annotations
@@ -10,55 +9,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import locally_dominant
-from ..session import ship
+from ..session import keep, ship
 
-#: Query vectors in one pass; with 768 dimensions a block is about 100 MB.
-QUERY_BLOCK = 16_384
+#: Vectors of a group; with 768 dimensions it takes about 25 MB.  Rows of one product.
+BLOCK, STRIP = 4_096, 1_024
 #: Segments of one document compared at once.
 SEGMENT_BLOCK = 1_024
 
 
-def _neighbours_of(block: list, targets: DataFrame, k: int) -> DataFrame:
-    docs = [r.doc for r in block]
-    chunks = [r.chunk for r in block]
-    matrix = np.array([r.vec for r in block], np.float64)
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in frames:
-            if not len(part):
-                continue
-            sims = matrix @ np.stack(part.vec.to_numpy()).astype(np.float64).T
-            width = min(k, sims.shape[1])
-            top = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-            # Ties at the edge of the partition: keep all that equal the k-th.
-            edge = np.take_along_axis(sims, top, 1).min(axis=1, keepdims=True)
-            q, t = np.nonzero(sims >= edge)
-            yield pd.DataFrame({"src": np.array(docs)[q], "src_chunk": np.array(chunks)[q], "dst": part.doc.to_numpy()[t], "dst_chunk": part.chunk.to_numpy()[t], "sim": sims[q, t]})
-
-    kinds = dict(targets.dtypes)
-    schema = f"src {kinds['doc']}, src_chunk {kinds['chunk']}, dst {kinds['doc']}, dst_chunk {kinds['chunk']}, sim double"
-    return targets.select("doc", "chunk", "vec").mapInPandas(scan, schema)
+def _blocks(segments: DataFrame, side: str, blocks: int) -> DataFrame:
+    """Segments in ``blocks`` groups by hash: their documents, chunks and vectors as arrays."""
+    at = F.pmod(F.xxhash64("doc", "chunk"), F.lit(blocks)).cast("int").alias(f"{side}_block")
+    return segments.select(at, "doc", "chunk", "vec").groupBy(f"{side}_block").agg(*[F.collect_list(c).alias(f"{side}_{c}") for c in ("doc", "chunk", "vec")])
 
 
 def knn(queries: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
-    """(src, src_chunk, dst, dst_chunk, sim, rank): the k best targets of every query by inner product."""
+    """(src, src_chunk, dst, dst_chunk, sim, rank): the k best targets of every query by inner product.
+
+    Exact search in blocks: both sides are hashed into groups of about BLOCK vectors on the executors, every
+    pair of groups is one matrix product, and each gives at most its k best (with ties) before the shuffle.
+    A group of queries is sent to the groups of targets, never a vector to the driver.
+    """
     ship(queries.sparkSession)
-    block: list = []
-    found: DataFrame | None = None
-    for row in queries.select("doc", "chunk", "vec").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part = _neighbours_of(block, targets, k)
-            found, block = part if found is None else found.unionByName(part), []
-    if block or found is None:
-        part = _neighbours_of(block, targets, k) if block else targets.select(F.col("doc").alias("src"), F.col("chunk").alias("src_chunk"), F.col("doc").alias("dst"), F.col("chunk").alias("dst_chunk"), F.lit(0.0).alias("sim")).limit(0)
-        found = part if found is None else found.unionByName(part)
+    n, m = queries.count(), targets.count()
+    a, b = _blocks(queries, "q", max(1, -(-n // BLOCK))), _blocks(targets, "t", max(1, -(-m // BLOCK)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-m // BLOCK)) - 1))).alias("t_block")
+    met = a.select("*", every).join(b, "t_block").select("q_doc", "q_chunk", "q_vec", "t_doc", "t_chunk", "t_vec")
+    kinds, own = dict(targets.dtypes), dict(queries.dtypes)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(cell) -> np.ndarray:
+            rows = cell.values
+            return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qd, qc, qv, td, tc, tv = (column[i] for column in batch.columns)
+                left, right = matrix(qv), matrix(tv)
+                width = min(k, len(right))
+                # In strips of queries, so that no product is larger than STRIP rows.
+                for lo in range(0, len(left), STRIP):
+                    sims = left[lo : lo + STRIP] @ right.T
+                    edge = -np.partition(-sims, width - 1, axis=1)[:, width - 1 : width]
+                    q, t = np.nonzero(sims >= edge)
+                    at, other = pa.array(q + lo), pa.array(t)
+                    yield pa.RecordBatch.from_arrays([qd.values.take(at), qc.values.take(at), td.values.take(other), tc.values.take(other), pa.array(sims[q, t])], ["src", "src_chunk", "dst", "dst_chunk", "sim"])
+
+    found = met.mapInArrow(compare, f"src {own['doc']}, src_chunk {own['chunk']}, dst {kinds['doc']}, dst_chunk {kinds['chunk']}, sim double")
     order = Window.partitionBy("src", "src_chunk").orderBy(F.desc("sim"), "dst", "dst_chunk")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -111,12 +113,21 @@ def bimax(pairs: DataFrame, sources: DataFrame, targets: DataFrame, mode: str =
                     yield pa.RecordBatch.from_arrays([pa.array([src[i].as_py()] * n, src.type), pa.array([dst[i].as_py()] * n, dst.type), pa.array([side] * n, pa.int32()), chunks, pa.array(best, pa.float64())], ["src", "dst", "side", "chunk", "best"])
 
     wide = both.select("src", "dst", "src_chunks", "src_vecs", "dst_chunks", "dst_vecs")
-    best = wide.mapInArrow(compare, f"src {kinds['src']}, dst {kinds['dst']}, side int, chunk {kinds['chunk']}, best double").persist()
+    best = wide.mapInArrow(compare, f"src {kinds['src']}, dst {kinds['dst']}, side int, chunk {kinds['chunk']}, best double")
+    best = keep(best)
     joined = _coverage(best, 0, "f", trim).join(_coverage(best, 1, "g", trim), ["src", "dst"])
     f, g = F.col("f"), F.col("g")
     return joined.select("src", "dst", {"avg": (f + g) / 2, "max": F.greatest(f, g), "min": F.least(f, g)}[mode].alias("score"))
 
 
+def margins(sources: DataFrame, targets: DataFrame, k_chunks: int = 5, k_docs: int = 10, mode: str = "avg", trim: float = 0.7, k: int = 10, k_out: int = 10) -> DataFrame:
+    """csls over both directions; each candidate pair is compared once, whichever direction proposed it."""
+    forth = keep(vote(knn(sources, targets, k_chunks), k_docs).select("src", "dst"))
+    back = keep(vote(knn(targets, sources, k_chunks), k_docs).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    scored = keep(bimax(forth.unionByName(back), sources, targets, mode, trim))
+    return csls(scored.join(forth, ["src", "dst"], "left_semi"), scored.join(back, ["src", "dst"], "left_semi"), k, k_out)
+
+
 def csls(forward: DataFrame, backward: DataFrame, k: int = 10, k_out: int = 10) -> DataFrame:
     """(src, dst, margin, rank): 2·s − r(src) − r(dst); the forward score wins where both directions have one."""
 

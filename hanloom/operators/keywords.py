@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vector as V
 
 
 #: Tags of words that may stand at the edge of a candidate, and tags that may not occur in one.
@@ -123,8 +124,15 @@ def pair_quality(hits: Column) -> Column:
     return F.when(hits <= 0, 0.0).when(hits <= 3, 1.0).when(hits <= 10, 0.8).when(hits <= 30, 0.5).when(hits <= 100, 0.25).otherwise(0.1)
 
 
-def anchor_scores(terms: DataFrame, pairs: DataFrame, group: str, weights: tuple[float, float, float] = (0.10, 0.60, 0.30), min_hit: int = 1) -> DataFrame:
-    """(group, term, support, hits, quality, anchor) from terms (group, term, score) and their pair hits."""
+def anchor_scores(terms: DataFrame, pairs: DataFrame, group: str, weights: tuple[float, float, float] = (0.10, 0.60, 0.30), min_hit: int = 1, best_of: DataFrame | None = None) -> DataFrame:
+    """(group, term, score, support, hits, quality, anchor) from terms (group, term, score) and their pair hits.
+
+    ``best_of`` (group, term, ranked) says which terms are ranked by their hits; the others have only their own score, and
+    pairs with them do not count.
+    """
+    if best_of is not None:
+        ranked = best_of.where("ranked").select(group, F.col("term"))
+        pairs = pairs.join(ranked.withColumnRenamed("term", "a"), [group, "a"], "left_semi").join(ranked.withColumnRenamed("term", "b"), [group, "b"], "left_semi")
     both = pairs.select(group, F.col("a").alias("term"), "hits").unionByName(pairs.select(group, F.col("b").alias("term"), "hits"))
     support = both.groupBy(group, "term").agg(F.count_if(F.col("hits") >= min_hit).alias("support"), F.sum("hits").alias("hits"), F.sum(pair_quality(F.col("hits"))).alias("quality"))
     full = terms.join(support, [group, "term"], "left").na.fill({"support": 0, "hits": 0, "quality": 0.0})
@@ -135,7 +143,89 @@ def anchor_scores(terms: DataFrame, pairs: DataFrame, group: str, weights: tuple
         return F.col(name) / F.when(top > 0, top).otherwise(1.0)
 
     anchor = weights[0] * share("score") + weights[1] * share("support") + weights[2] * share("quality")
-    return full.select(group, "term", "support", "hits", "quality", F.round(anchor, 4).alias("anchor"))
+    return full.select(group, "term", "score", "support", "hits", "quality", F.round(anchor, 4).alias("anchor"))
+
+
+def connected_terms(pairs: DataFrame, group: str, min_hit: int = 1) -> DataFrame:
+    """(group, term, max_hits, connected): for each term of pair hits its most common hits and the terms it is found with, best first."""
+    both = pairs.select(group, F.col("a").alias("term"), F.col("b").alias("other"), "hits").unionByName(pairs.select(group, F.col("b").alias("term"), F.col("a").alias("other"), "hits"))
+    ordered = F.struct((-pair_quality(F.col("hits"))).alias("q"), (-F.col("hits")).alias("h"), "other")
+    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("hits") >= min_hit, ordered))), lambda x: x["other"])
+    return both.groupBy(group, "term").agg(F.max("hits").alias("max_hits"), listed.alias("connected"))
+
+
+def rerank_pool(terms: DataFrame, min_han: int = 2, tags: tuple[str, ...] | None = None, top: int | None = None, group: str = "file_name") -> DataFrame:
+    """Translated terms (group, term, score, han, and tag if ``tags`` are asked for) with ``eligible``; others stay as fallback."""
+    fit = F.length(F.trim("han")) >= min_han
+    if tags:
+        fit = fit & F.arrays_overlap(F.split("tag", " "), F.array(*map(F.lit, tags)))
+    pool = terms.where(F.trim("han") != "").withColumn("eligible", fit)
+    if top is None:
+        return pool
+    place = F.row_number().over(Window.partitionBy(group, "eligible").orderBy(F.desc("score"), "term"))
+    return pool.withColumn("eligible", F.col("eligible") & (place <= top))
+
+
+def top_anchors(pool: DataFrame, pairs: DataFrame, group: str, top: int = 3) -> DataFrame:
+    """(group, term, support, anchor, place): the best terms of each pool; ineligible ones, and all where fewer than two are
+    eligible, are scored by their own score only."""
+    several = pool.groupBy(group).agg(F.count_if("eligible").alias("n"))
+    known = pool.join(several, group).withColumn("ranked", F.col("eligible") & (F.col("n") >= 2))
+    scored = anchor_scores(known.select(group, "term", "score"), pairs, group, best_of=known.select(group, "term", "ranked"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("anchor"), F.desc("score"), "term"))
+    return scored.withColumn("place", place).where(F.col("place") <= top).select(group, "term", "support", "anchor", "place")
+
+
+def select_terms(ranked: DataFrame, group: str, top: int, fill: bool = False) -> DataFrame:
+    """(group, term, support, place): the first supported terms of a ranking (group, term, support, place); with ``fill`` others
+    take the places left, and where none is supported the ranking itself is taken."""
+    whole = Window.partitionBy(group)
+    supported = F.col("support") > 0
+    any_ = F.max(supported.cast("int")).over(whole) == 1
+    wanted = ranked.withColumn("_take", ~any_ | supported | F.lit(fill)).where("_take")
+    order = whole.orderBy(F.when(any_ & ~supported, 1).otherwise(0), "place")
+    return wanted.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).select(group, "term", "support", F.col("_n").alias("place"))
+
+
+def exact_and_loose(terms: DataFrame, group: str, exact: int = 3, preferred: tuple[str, ...] = ("Np",)) -> DataFrame:
+    """(group, term, is_exact, place): supported terms with a preferred tag first, then other supported ones, then the rest;
+    the first ``exact`` are quoted.  Terms are (group, term, tag, support, place)."""
+    tagged = F.arrays_overlap(F.split("tag", " "), F.array(*map(F.lit, preferred)))
+    kind = F.when((F.col("support") > 0) & tagged, 0).when(F.col("support") > 0, 1).otherwise(2)
+    at = F.row_number().over(Window.partitionBy(group).orderBy(kind, "place"))
+    return terms.withColumn("_n", at).select(group, "term", (F.col("_n") <= exact).alias("is_exact"), F.col("_n").alias("place"))
+
+
+def local_ranges(counts: DataFrame, key: str) -> DataFrame:
+    """(key, part, first_chunk, last_chunk): the chunks of a document (key, chunks) in about as many even parts as the root of their number."""
+    k = F.greatest(F.lit(1), F.ceil(F.sqrt("chunks"))).cast("bigint")
+    parts = counts.select(key, "chunks", k.alias("k"), F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("part"))
+    lo, hi = F.floor(F.col("part") * F.col("chunks") / F.col("k")), F.floor((F.col("part") + 1) * F.col("chunks") / F.col("k")) - 1
+    return parts.select(key, "part", lo.alias("first_chunk"), hi.alias("last_chunk")).where("first_chunk <= last_chunk")
+
+
+def first_seen(terms: DataFrame, order: str) -> DataFrame:
+    """(term, first): each different term by its normal form with where it is seen first."""
+    return terms.groupBy(T.normal_phrase(F.col("term")).alias("term")).agg(F.min(order).alias("first")).where("term <> ''")
+
+
+def translation_hits(terms: DataFrame, group: str) -> DataFrame:
+    """(group, terms, hits): how many terms of a group (group, term, trans) have a translation."""
+    return terms.groupBy(group).agg(F.count("*").alias("terms"), F.count_if(F.coalesce("trans", F.lit("")) != "").alias("hits"))
+
+
+def rank_by_vector(candidates: DataFrame, documents: DataFrame, key: str, top: int) -> DataFrame:
+    """(key, word, score, rank): candidates (key, word, vec) by their cosine to the document's vector (key, vec)."""
+    met = candidates.join(documents.withColumnRenamed("vec", "_doc"), key)
+    scored = met.select(key, "word", V.cosine(F.col("vec"), F.col("_doc")).alias("score"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "word")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def wanted_results(queries: DataFrame, usual: int, weak: int | None = None, source: str = "wikisource") -> DataFrame:
+    """Queries with ``num_results``: another number for those without support from a co-occurrence source."""
+    supported = F.coalesce(F.col("rerank_source").startswith(source), F.lit(False))
+    return queries.withColumn("num_results", F.when(supported | F.lit(weak is None), usual).otherwise(F.lit(weak if weak is not None else usual)))
 
 
 def variants(pool: DataFrame, key: str, windows: int, size: int) -> DataFrame:
@@ -161,13 +251,3 @@ def compose(terms: DataFrame, key: str, exact: int = 3, sites: tuple[str, ...] =
         return parts
     tail = f"site:{sites[0]}" if len(sites) == 1 else "(" + " OR ".join(f"site:{s}" for s in sites) + ")"
     return parts.select(key, F.concat_ws(" ", "query", F.lit(tail)).alias("query"))
-
-
-def fetch_in_batches(rows: DataFrame, fetch, schema: str, parts: int) -> DataFrame:
-    """A connector over rows: ``fetch`` maps a frame to a frame in ``parts`` bounded tasks."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield fetch(frame)
-
-    return rows.repartition(parts).mapInPandas(run, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import align, dedup, keywords, pages
+from ..sources import tables
 from ..session import table
 
 #: Least margin of an edge in the queries; the given vectors are hubs of each other, so it is lower than the default.
@@ -113,6 +114,11 @@ def url_group(s, d):
     return pages.group_by_url(table(s, d, "pages").select("doc_id", "page_id", "url").where("url is not null").distinct())
 
 
+def url_group_traces(s, d):
+    grouped = pages.group_with_traces(table(s, d, "pages").where("url is not null").dropDuplicates(["doc_id", "page_id", "url"]))
+    return grouped.select("doc_id", "canonical", "url", "first", F.size("traces").cast("bigint").alias("traces"))
+
+
 def _hits(s, d):
     hit = table(s, d, "pages").select("doc_id", "url", F.explode("source_queries").alias("q"))
     return hit.select("doc_id", F.col("q.query_id").alias("query_no"), F.col("q.rank").alias("rank"), "url").distinct()
@@ -154,13 +160,38 @@ def containment_pairs(s, d):
 
 
 def containment_asym_pairs(s, d):
-    both = dedup.asymmetric(_pairs(s, d, 0.9, "containment"), 0.95)
+    """Pairs (a, b) by quality: b, the worse, lies in a, or both nearly lie in each other."""
+    rows = _signed(s, d)
+    pairs = dedup.similar_pairs(rows, "global_id", F.col("sig"), 3, dedup.MUTUAL * 0.95, "containment")
+    quality = rows.select("global_id", dedup.quality_value(prefer_longer=True).alias("q"))
+    ranked = pairs.join(quality.toDF("a", "qa"), "a").join(quality.toDF("b", "qb"), "b")
+    turn = F.col("qb") < F.col("qa")
+    first = [F.when(turn, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in [("b", "a", "a"), ("a", "b", "b"), ("size_b", "size_a", "size_a"), ("size_a", "size_b", "size_b")]]
+    both = dedup.asymmetric(ranked.select(*first, "common"), 0.95)
     return both.select("a", "b", F.round("b_in_a", 6).alias("b_in_a"), F.round("a_in_b", 6).alias("a_in_b"))
 
 
+def similarity_metrics(s, d):
+    pairs = _pairs(s, d, 0.9, "containment")
+    return pairs.select("a", "b", *[F.round(dedup.metrics(m), 6).alias(m) for m in ("jaccard", "containment", "b_in_a", "a_in_b")])
+
+
+def doc_scope_pairs(s, d):
+    return dedup.similar_pairs(_signed(s, d), "global_id", F.col("sig"), 3, 0.5, "jaccard", "doc_id").select("a", "b", F.round("score", 6).alias("score"))
+
+
+def _near(s, d, least, metric):
+    found = dedup.near(_signed(s, d), "global_id", F.col("sig"), 3, least, dedup.quality_order(prefer_longer=True), metric)
+    # Rows that are kept have no keeper; -1 and 0 stand for that here.
+    return found.select(F.col("node").alias("global_id"), F.coalesce("keeper", F.lit(-1).cast("bigint")).alias("keeper"), F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
+
+
 def near_dedup(s, d):
-    found = dedup.near(_signed(s, d), "global_id", F.col("sig"), 3, 0.85, dedup.quality_order(prefer_longer=True))
-    return found.select(F.col("node").alias("global_id"), "keeper")
+    return _near(s, d, 0.85, "jaccard")
+
+
+def near_dedup_contained(s, d):
+    return _near(s, d, 0.95, "asymmetric")
 
 
 def _unique(s, d):
@@ -216,7 +247,7 @@ def cooccurrence_hits(s, d):
 
 
 def anchor_score(s, d):
-    return keywords.anchor_scores(_terms(s, d), _hits_of_terms(s, d), "file_name")
+    return keywords.anchor_scores(_terms(s, d), _hits_of_terms(s, d), "file_name").drop("score").withColumn("quality", F.round("quality", 6))
 
 
 def query_variants(s, d):
@@ -233,6 +264,51 @@ def query_compose(s, d):
     return keywords.compose(found, "file_name", 3, ("a.example", "b.example"))
 
 
+def _pool(s, d):
+    found = keywords.translated(_terms(s, d), table(s, d, "translation_cache"))
+    return keywords.rerank_pool(found.select("file_name", "term", "score", F.col("trans").alias("han")), min_han=2)
+
+
+def rerank_candidates(s, d):
+    return _pool(s, d).select("file_name", "term", "han", "eligible")
+
+
+def _anchors(s, d):
+    return keywords.top_anchors(_pool(s, d), _hits_of_terms(s, d), "file_name", 6)
+
+
+def anchor_top(s, d):
+    return _anchors(s, d).select("file_name", "term", "support", "anchor", F.col("place").cast("bigint").alias("place"))
+
+
+def anchor_connections(s, d):
+    return keywords.connected_terms(_hits_of_terms(s, d), "file_name").select("file_name", "term", "max_hits", F.array_join("connected", "|").alias("connected"))
+
+
+def query_terms(s, d):
+    return keywords.select_terms(_anchors(s, d), "file_name", 4).select("file_name", "term", F.col("place").cast("bigint").alias("place"))
+
+
+def query_exact_loose(s, d):
+    tag = F.when(F.col("term").contains(" "), "Np").otherwise("N")
+    chosen = keywords.select_terms(_anchors(s, d), "file_name", 5, fill=True).withColumn("tag", tag)
+    return keywords.exact_and_loose(chosen, "file_name", 2).select("file_name", "term", "is_exact", F.col("place").cast("bigint").alias("place"))
+
+
+def query_local_ranges(s, d):
+    chunks = _lines(s, d).groupBy("file_name").agg(F.count_distinct("chunk").alias("chunks"))
+    return keywords.local_ranges(chunks, "file_name")
+
+
+def translation_hit_counts(s, d):
+    found = keywords.translated(_terms(s, d), table(s, d, "translation_cache"))
+    return keywords.translation_hits(found, "file_name")
+
+
+def terms_first_seen(s, d):
+    return keywords.first_seen(_terms(s, d).select("term", "file_name"), "file_name")
+
+
 def translation_table(s, d):
     t = table(s, d, "translation_cache")
     return t.select("src_norm", F.coalesce("tgt", F.lit("")).alias("tgt"), (F.length("tgt") > 0).alias("filled"))
@@ -275,9 +351,7 @@ def bimax_min(s, d):
 
 def _margins(s, d, mode):
     a, b = _segments(s, d)
-    forward = align.bimax(align.vote(align.knn(a, b, 5), 10), a, b, mode)
-    back = align.vote(align.knn(b, a, 5), 10).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return align.csls(forward, align.bimax(back, a, b, mode))
+    return align.margins(a, b, mode=mode)
 
 
 def csls_edges(s, d):
@@ -298,6 +372,20 @@ def align_eval(s, d):
     return e.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def corpus_index(s, d):
+    return tables.numbered(table(s, d, "source_text").select("file_name").distinct())
+
+
+def pair_metadata(s, d):
+    """Listed pairs with the index of their source; pairs whose source is no file are left out."""
+    return tables.with_metadata(gold_pairs(s, d), corpus_index(s, d), "src", "src_idx").select("src_idx", "src", "tgt")
+
+
+def title_names(s, d):
+    shown = F.coalesce(F.when(F.col("html_title") != "", F.col("html_title")), F.when(F.col("title") != "", F.col("title")), "doc_id")
+    return _candidates(s, d).select("global_id", T.without_site(shown).alias("title"), T.unit_form(shown).alias("unit"))
+
+
 def gold_pairs(s, d):
     return table(s, d, "gold_pair").where("src is not null and tgt is not null and src <> '' and tgt <> ''").select("src", "tgt").distinct()
 
@@ -310,8 +398,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         text_stats, clean_text_export, clean_text_aggressive, clean_text_keyword, sentence_split, sentence_windows, token_windows, signatures,
         pages_latest, line_run_stats, page_gate, page_rollup, funnel_summary, rejection_reasons, url_canonical, url_group, url_early_stop, content_kinds,
-        exact_dedup, exact_dedup_scoped, ngram_jaccard_pairs, containment_pairs, containment_asym_pairs, near_dedup, export_manifest, export_files,
+        exact_dedup, exact_dedup_scoped, ngram_jaccard_pairs, containment_pairs, containment_asym_pairs, similarity_metrics, doc_scope_pairs, near_dedup, near_dedup_contained, export_manifest, export_files,
         keyword_candidates, keyword_aggregate, keyword_mmr, cooccurrence_hits, anchor_score, query_variants, translate_lookup, query_compose, translation_table,
+        rerank_candidates, anchor_top, anchor_connections, query_terms, query_exact_loose, query_local_ranges, translation_hit_counts, terms_first_seen, url_group_traces, corpus_index, pair_metadata, title_names,
         knn_chunks, vote_docs, bimax_avg, bimax_max, bimax_min, csls_edges, align_mm, align_one_to_one, align_eval, gold_pairs, target_link,
     ]
     return {f.__name__: f for f in made}

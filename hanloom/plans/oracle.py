@@ -42,8 +42,8 @@ def _clean(col: str, aggressive: bool = False) -> str:
 def _keyword_text(col: str) -> str:
     t = _drop(_drop(col, r"\[[^\]]*?\]", " "), r"\([^)]*?\)", " ")
     t = _drop(_drop(t, r"\r\n?", "\n"), r" *\n *", "\n")
-    # A line end after a closing mark becomes a blank, any other a full stop.
-    t = _drop(_drop(t, r"([.!?;:])\n+", r"\1" + "\x01"), r"\n+", ". ")
+    # A single line end after a closing mark becomes a blank; of several only the first, the others make a full stop.
+    t = _drop(_drop(_drop(t, r"([.!?;:])\n(\n+)", r"\1" + "\x01. "), r"([.!?;:])\n", r"\1" + "\x01"), r"\n+", ". ")
     t = _drop(t, "\x01", " ")
     t = _drop(_drop(t, r"[ \t]+", " "), r"\s+([,;:.!?])", r"\1")
     t = _drop(_drop(t, r"([!?])\.", r"\1"), r"\.{2,}", ".")
@@ -103,7 +103,7 @@ gated AS (SELECT doc_id, page_id, clean, han, sig, CASE
 
 
 def _exact(scope: str) -> str:
-    return f"WITH {_ONE} SELECT global_id, first_value(global_id) OVER (PARTITION BY {scope} ORDER BY traditional_score DESC, han_ratio DESC, han_chars DESC, text_len DESC, global_id) AS kept FROM cand"
+    return f"WITH {_ONE} SELECT global_id, CASE WHEN content_hash IS NULL THEN global_id ELSE first_value(global_id) OVER (PARTITION BY {scope} ORDER BY traditional_score DESC, han_ratio DESC, han_chars DESC, text_len DESC, global_id) END AS kept FROM cand"
 
 
 def _grams() -> str:
@@ -114,12 +114,35 @@ c AS (SELECT a.global_id AS a, b.global_id AS b, CAST(count(*) AS DOUBLE) AS m F
 p AS (SELECT a, b, m, x.n AS na, y.n AS nb FROM c JOIN n x ON x.global_id = a JOIN n y ON y.global_id = b)"""
 
 
+_RANKED = "rk AS (SELECT global_id, row_number() OVER (ORDER BY traditional_score DESC NULLS LAST, text_len DESC NULLS LAST, han_chars DESC NULLS LAST, han_ratio DESC NULLS LAST, global_id) AS r FROM cand)"
+
+
+def _near(similar: str, score: str) -> str:
+    """The greedy choice as a recursion over ranks: a row is dropped if a better row similar to it is not.
+
+    ``nw`` and ``nbt`` are the set sizes of the worse and the better row.
+    """
+    return f"""WITH RECURSIVE {_grams()}, {_RANKED},
+o AS (SELECT least(x.r, y.r) AS better, greatest(x.r, y.r) AS worse, m, na, nb, CASE WHEN x.r < y.r THEN nb ELSE na END AS nw, CASE WHEN x.r < y.r THEN na ELSE nb END AS nbt FROM p JOIN rk x ON x.global_id = a JOIN rk y ON y.global_id = b),
+lk AS (SELECT better, worse, {score} AS score FROM o WHERE {similar}),
+above AS (SELECT worse, list(better) AS bs FROM lk GROUP BY worse),
+nxt AS (SELECT worse, bs, coalesce(lag(worse) OVER (ORDER BY worse), 0) AS prev FROM above),
+step AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS dropped
+  UNION ALL SELECT n.worse, CASE WHEN len(list_filter(n.bs, lambda x: NOT list_contains(s.dropped, x))) > 0 THEN list_append(s.dropped, n.worse) ELSE s.dropped END FROM step s JOIN nxt n ON n.prev = s.r),
+dropped AS (SELECT unnest(dropped) AS r FROM (SELECT dropped FROM step ORDER BY r DESC LIMIT 1)),
+by_ AS (SELECT worse AS r, min(better) AS b FROM lk WHERE worse IN (SELECT r FROM dropped) AND better NOT IN (SELECT r FROM dropped) GROUP BY worse)
+SELECT c.global_id, coalesce(k.global_id, -1) AS keeper, coalesce(round(lk.score, 6), 0.0) AS score FROM cand c JOIN rk USING (global_id) LEFT JOIN by_ ON by_.r = rk.r LEFT JOIN rk k ON k.r = by_.b LEFT JOIN lk ON lk.better = by_.b AND lk.worse = by_.r WHERE c.text IS NOT NULL"""
+
+
 _CANONICAL_PARTS = r"""
-u0 AS (SELECT DISTINCT url, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
-u1 AS (SELECT url, u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) AS scheme, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS rest FROM u0),
-u2 AS (SELECT *, regexp_extract(rest, '^([^?]*)', 1) AS place, regexp_extract(rest, '\?(.*)$', 1) AS q FROM u1),
-u3 AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(string_split(x, '=')[1]), '^(?:utm_.*|fbclid|gclid|yclid)$')), '&') AS kept FROM u2),
-canon AS (SELECT url, CASE WHEN u = '' THEN '' ELSE (CASE WHEN scheme = '' THEN 'https' ELSE scheme END) || '://' || lower(regexp_extract(place, '^([^/]*)', 1)) || regexp_replace(regexp_extract(place, '^[^/]*(/.*)?$', 1), '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM u3)"""
+u0 AS (SELECT DISTINCT url, trim(url) AS u FROM pages),
+u1 AS (SELECT url, u, string_split(u, '#')[1] AS f FROM u0),
+u2 AS (SELECT url, u, lower(regexp_extract(f, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) AS scheme, regexp_replace(f, '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS rest FROM u1),
+u3 AS (SELECT *, string_split(rest, '?')[1] AS place, regexp_extract(rest, '\?(.*)$', 1) AS q FROM u2),
+u4 AS (SELECT url, u, scheme, lower(regexp_extract(place, '^([^/]*)', 1)) AS host, regexp_replace(url_decode(regexp_extract(place, '^[^/]*(/.*)?$', 1)), '/+$', '') AS path,
+  list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(string_split(x, '=')[1]), '^(?:utm_.*|fbclid|gclid|yclid)$')), lambda x: [string_split(x, '=')[1], regexp_extract(x, '=(.*)$', 1)]) AS ps FROM u3),
+canon AS (SELECT url, CASE WHEN u = '' THEN '' ELSE (CASE WHEN scheme = '' THEN 'https' ELSE scheme END) || '://' || host || replace(replace(replace(url_encode(path), '%2F', '/'), '%3A', ':'), '%25', '%')
+  || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(list_transform(ps, lambda x: replace(url_encode(url_decode(replace(x[1], '+', ' '))), '%20', '+') || '=' || replace(url_encode(url_decode(replace(x[2], '+', ' '))), '%20', '+')), '&') ELSE '' END END AS canonical FROM u4)"""
 
 _KEYWORDS = r"""
 l AS (SELECT file_name, string_split(text, chr(10)) AS a FROM source_text),
@@ -146,6 +169,18 @@ ph AS (SELECT x.file_name, x.term AS a, y.term AS b, coalesce(hits, 0) AS hits F
 
 _TABLE = "tb AS (SELECT src_norm, min(tgt) AS tgt FROM translation_cache GROUP BY 1)"
 
+_POOL = f"""
+{_TABLE},
+pool AS (SELECT file_name, term, score, tgt AS han, length(trim(tgt)) >= 2 AS eligible FROM tm JOIN tb ON src_norm = term WHERE trim(tgt) <> ''),
+rkd AS (SELECT *, eligible AND count_if(eligible) OVER (PARTITION BY file_name) >= 2 AS ranked FROM pool),
+pe AS (SELECT ph.* FROM ph SEMI JOIN (SELECT * FROM rkd WHERE ranked) x ON x.file_name = ph.file_name AND x.term = ph.a SEMI JOIN (SELECT * FROM rkd WHERE ranked) y ON y.file_name = ph.file_name AND y.term = ph.b),
+bt AS (SELECT file_name, a AS term, hits FROM pe UNION ALL SELECT file_name, b, hits FROM pe),
+su AS (SELECT file_name, term, count_if(hits >= 1) AS support, sum(CASE WHEN hits <= 0 THEN 0.0 WHEN hits <= 3 THEN 1.0 WHEN hits <= 10 THEN 0.8 WHEN hits <= 30 THEN 0.5 WHEN hits <= 100 THEN 0.25 ELSE 0.1 END::DOUBLE) AS quality FROM bt GROUP BY 1, 2),
+af AS (SELECT rkd.file_name, rkd.term, score, coalesce(support, 0) AS support, coalesce(quality, 0.0) AS quality FROM rkd LEFT JOIN su USING (file_name, term)),
+aa AS (SELECT *, round(0.10 * score / CASE WHEN max(score) OVER f > 0 THEN max(score) OVER f ELSE 1 END + 0.60 * (CAST(support AS DOUBLE) / CASE WHEN max(support) OVER f > 0 THEN max(support) OVER f ELSE 1 END) + 0.30 * (quality / CASE WHEN max(quality) OVER f > 0 THEN max(quality) OVER f ELSE 1 END), 4) AS anchor FROM af WINDOW f AS (PARTITION BY file_name)),
+ta AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY anchor DESC, score DESC, term) AS place FROM aa QUALIFY place <= 6),
+an AS (SELECT *, max(support > 0) OVER (PARTITION BY file_name) AS any_ FROM ta)"""
+
 _ALIGN = """
 v AS (SELECT vec_id AS chunk, label AS doc, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 sim AS MATERIALIZED (SELECT a.doc AS src, a.chunk AS sc, b.doc AS dst, b.chunk AS dc, list_inner_product(a.vec, b.vec) AS sim FROM v a, v b WHERE a.chunk % 2 = 0 AND b.chunk % 2 = 1),
@@ -193,15 +228,31 @@ def oracle_sql() -> dict[str, str]:
         "exact_dedup_scoped": _exact("content_hash, doc_id"),
         "ngram_jaccard_pairs": f"WITH {_grams()} SELECT a, b, round(m / (na + nb - m), 6) AS score FROM p WHERE m / (na + nb - m) >= 0.85 - 1e-9",
         "containment_pairs": f"WITH {_grams()} SELECT a, b, round(m / least(na, nb), 6) AS score FROM p WHERE m / least(na, nb) >= 0.9 - 1e-9",
-        "containment_asym_pairs": f"WITH {_grams()} SELECT a, b, round(m / nb, 6) AS b_in_a, round(m / na, 6) AS a_in_b FROM p WHERE m / least(na, nb) >= 0.9 - 1e-9 AND (m / nb >= 0.95 - 1e-9 OR least(m / nb, m / na) >= 0.9 * 0.95 - 1e-9)",
+        "containment_asym_pairs": f"WITH {_grams()}, {_RANKED}, o AS (SELECT CASE WHEN x.r < y.r THEN a ELSE b END AS a, CASE WHEN x.r < y.r THEN b ELSE a END AS b, m, CASE WHEN x.r < y.r THEN na ELSE nb END AS na, CASE WHEN x.r < y.r THEN nb ELSE na END AS nb FROM p JOIN rk x ON x.global_id = a JOIN rk y ON y.global_id = b) SELECT a, b, round(m / nb, 6) AS b_in_a, round(m / na, 6) AS a_in_b FROM o WHERE m / nb >= 0.95 - 1e-9 OR least(m / nb, m / na) >= 0.9 * 0.95 - 1e-9",
+        "similarity_metrics": f"WITH {_grams()} SELECT a, b, round(m / (na + nb - m), 6) AS jaccard, round(m / least(na, nb), 6) AS containment, round(m / nb, 6) AS b_in_a, round(m / na, 6) AS a_in_b FROM p WHERE m / least(na, nb) >= 0.9 - 1e-9",
+        "doc_scope_pairs": f"WITH {_grams()} SELECT a, b, round(m / (na + nb - m), 6) AS score FROM p JOIN cand x ON x.global_id = a JOIN cand y ON y.global_id = b WHERE x.doc_id = y.doc_id AND m / (na + nb - m) >= 0.5 - 1e-9",
+        "near_dedup": _near("m / (na + nb - m) >= 0.85 - 1e-9", "m / (na + nb - m)"),
+        "near_dedup_contained": _near("m / nw >= 0.95 - 1e-9 OR least(m / nw, m / nbt) >= 0.9 * 0.95 - 1e-9", "CASE WHEN m / nw >= 0.95 - 1e-9 THEN m / nw ELSE least(m / nw, m / nbt) END"),
         "export_manifest": f"WITH {_ONE}, x AS (SELECT *, first_value(global_id) OVER (PARTITION BY content_hash ORDER BY traditional_score DESC, han_ratio DESC, han_chars DESC, text_len DESC, global_id) AS kept FROM cand) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_id, domain, content_hash, global_id) AS local_no, global_id FROM x WHERE kept = global_id",
         "keyword_candidates": f"WITH {_KEYWORDS} SELECT file_name, chunk, word, tf FROM cand",
         "keyword_aggregate": f"WITH {_KEYWORDS} SELECT file_name, word, score, rank FROM kw",
         "cooccurrence_hits": f"WITH {_KEYWORDS}, {_HITS.strip()} SELECT file_name, a, b, hits FROM ph",
-        "anchor_score": f"WITH {_KEYWORDS}, {_HITS.strip()}, both_ AS (SELECT file_name, a AS term, hits FROM ph UNION ALL SELECT file_name, b, hits FROM ph), sp AS (SELECT file_name, term, count_if(hits >= 1) AS support, CAST(sum(hits) AS BIGINT) AS hits, sum(CASE WHEN hits <= 0 THEN 0.0 WHEN hits <= 3 THEN 1.0 WHEN hits <= 10 THEN 0.8 WHEN hits <= 30 THEN 0.5 WHEN hits <= 100 THEN 0.25 ELSE 0.1 END::DOUBLE) AS quality FROM both_ GROUP BY 1, 2), fl AS (SELECT tm.*, coalesce(support, 0) AS support, coalesce(hits, 0) AS hits, coalesce(quality, 0.0) AS quality FROM tm LEFT JOIN sp USING (file_name, term)) SELECT file_name, term, support, hits, quality, round(0.10 * score / CASE WHEN max(score) OVER f > 0 THEN max(score) OVER f ELSE 1 END + 0.60 * (CAST(support AS DOUBLE) / CASE WHEN max(support) OVER f > 0 THEN max(support) OVER f ELSE 1 END) + 0.30 * (quality / CASE WHEN max(quality) OVER f > 0 THEN max(quality) OVER f ELSE 1 END), 4) AS anchor FROM fl WINDOW f AS (PARTITION BY file_name)",
+        "anchor_score": f"WITH {_KEYWORDS}, {_HITS.strip()}, both_ AS (SELECT file_name, a AS term, hits FROM ph UNION ALL SELECT file_name, b, hits FROM ph), sp AS (SELECT file_name, term, count_if(hits >= 1) AS support, CAST(sum(hits) AS BIGINT) AS hits, sum(CASE WHEN hits <= 0 THEN 0.0 WHEN hits <= 3 THEN 1.0 WHEN hits <= 10 THEN 0.8 WHEN hits <= 30 THEN 0.5 WHEN hits <= 100 THEN 0.25 ELSE 0.1 END::DOUBLE) AS quality FROM both_ GROUP BY 1, 2), fl AS (SELECT tm.*, coalesce(support, 0) AS support, coalesce(hits, 0) AS hits, coalesce(quality, 0.0) AS quality FROM tm LEFT JOIN sp USING (file_name, term)) SELECT file_name, term, support, hits, round(quality, 6) AS quality, round(0.10 * score / CASE WHEN max(score) OVER f > 0 THEN max(score) OVER f ELSE 1 END + 0.60 * (CAST(support AS DOUBLE) / CASE WHEN max(support) OVER f > 0 THEN max(support) OVER f ELSE 1 END) + 0.30 * (quality / CASE WHEN max(quality) OVER f > 0 THEN max(quality) OVER f ELSE 1 END), 4) AS anchor FROM fl WINDOW f AS (PARTITION BY file_name)",
         "query_variants": f"WITH {_KEYWORDS}, n AS (SELECT *, count(*) OVER (PARTITION BY file_name) AS n FROM kw), x AS (SELECT file_name, variant, ((rank - 1) - (variant * 4) % n + n) % n AS place, word FROM n, (VALUES (1), (2), (3)) v(variant)) SELECT file_name, variant, place, word FROM x WHERE place < 4",
         "translate_lookup": f"WITH {_KEYWORDS}, {_TABLE} SELECT term, coalesce(tgt, '') AS trans, src_norm IS NOT NULL AS found FROM (SELECT DISTINCT word AS term FROM kw WHERE rank <= 8) LEFT JOIN tb ON src_norm = term",
         "query_compose": f"WITH {_KEYWORDS}, {_TABLE} SELECT file_name, string_agg(CASE WHEN rank <= 3 THEN '\"' || tgt || '\"' ELSE tgt END, ' ' ORDER BY rank) || ' (site:a.example OR site:b.example)' AS query FROM kw JOIN tb ON src_norm = word WHERE rank <= 6 AND tgt <> '' GROUP BY file_name",
+        "rerank_candidates": f"WITH {_KEYWORDS}, {_HITS.strip()}, {_POOL} SELECT file_name, term, han, eligible FROM pool",
+        "anchor_top": f"WITH {_KEYWORDS}, {_HITS.strip()}, {_POOL} SELECT file_name, term, support, anchor, place FROM ta",
+        "anchor_connections": f"WITH {_KEYWORDS}, {_HITS.strip()}, cb AS (SELECT file_name, a AS term, b AS other, hits FROM ph UNION ALL SELECT file_name, b, a, hits FROM ph), cq AS (SELECT *, CASE WHEN hits <= 0 THEN 0.0 WHEN hits <= 3 THEN 1.0 WHEN hits <= 10 THEN 0.8 WHEN hits <= 30 THEN 0.5 WHEN hits <= 100 THEN 0.25 ELSE 0.1 END AS ql FROM cb) SELECT file_name, term, max(hits) AS max_hits, coalesce(string_agg(other, '|' ORDER BY ql DESC, hits DESC, other) FILTER (WHERE hits >= 1), '') AS connected FROM cq GROUP BY 1, 2",
+        "query_terms": f"WITH {_KEYWORDS}, {_HITS.strip()}, {_POOL} SELECT file_name, term, row_number() OVER (PARTITION BY file_name ORDER BY place) AS place FROM an WHERE NOT any_ OR support > 0 QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY place) <= 4",
+        "query_exact_loose": f"WITH {_KEYWORDS}, {_HITS.strip()}, {_POOL}, ch AS (SELECT file_name, term, support, row_number() OVER (PARTITION BY file_name ORDER BY CASE WHEN any_ AND support = 0 THEN 1 ELSE 0 END, place) AS place FROM an QUALIFY place <= 5), ex AS (SELECT file_name, term, row_number() OVER (PARTITION BY file_name ORDER BY CASE WHEN support > 0 AND contains(term, ' ') THEN 0 WHEN support > 0 THEN 1 ELSE 2 END, place) AS place FROM ch) SELECT file_name, term, place <= 2 AS is_exact, place FROM ex",
+        "query_local_ranges": f"WITH {_KEYWORDS}, k AS (SELECT file_name, chunks, greatest(1, CAST(ceil(sqrt(chunks)) AS BIGINT)) AS k FROM chunks), pt AS (SELECT file_name, chunks, k, unnest(range(0, k)) AS part FROM k) SELECT file_name, part, part * chunks // k AS first_chunk, (part + 1) * chunks // k - 1 AS last_chunk FROM pt WHERE part * chunks // k <= (part + 1) * chunks // k - 1",
+        "translation_hit_counts": f"WITH {_KEYWORDS}, {_TABLE} SELECT file_name, count(*) AS terms, count_if(coalesce(tgt, '') <> '') AS hits FROM kw LEFT JOIN tb ON src_norm = word WHERE rank <= 8 GROUP BY file_name",
+        "terms_first_seen": f"WITH {_KEYWORDS} SELECT word AS term, min(file_name) AS first FROM kw WHERE rank <= 8 GROUP BY word",
+        "url_group_traces": f"WITH {_CANONICAL_PARTS}, pg AS (SELECT DISTINCT ON (doc_id, page_id, url) doc_id, page_id, url, source_queries FROM pages WHERE url IS NOT NULL) SELECT doc_id, canonical, arg_min(url, [page_id, url]) AS url, min(page_id) AS first, CAST(coalesce(sum(len(source_queries)), 0) AS BIGINT) AS traces FROM pg JOIN canon USING (url) WHERE canonical <> '' GROUP BY doc_id, canonical",
+        "corpus_index": "SELECT file_name, row_number() OVER (ORDER BY file_name) - 1 AS doc_idx FROM (SELECT DISTINCT file_name FROM source_text)",
+        "pair_metadata": "WITH i AS (SELECT file_name, row_number() OVER (ORDER BY file_name) - 1 AS doc_idx FROM (SELECT DISTINCT file_name FROM source_text)) SELECT DISTINCT doc_idx AS src_idx, src, tgt FROM gold_pair JOIN i ON src = file_name WHERE tgt IS NOT NULL AND src <> '' AND tgt <> ''",
+        "title_names": f"WITH {_ONE}, t AS (SELECT global_id, coalesce(nullif(html_title, ''), nullif(title, ''), doc_id) AS t FROM cand) SELECT global_id, {_drop(_strip('t'), '(?i)' + chr(92) + 's*[-_｜|]' + chr(92) + 's*(?:Wikisource|Chinese Text Project|中國哲學書電子化計劃).*$')} AS title, {_drop(_strip('t'), f'[{SPACE}]+', '_')} AS unit FROM t",
         "translation_table": "SELECT src_norm, coalesce(tgt, '') AS tgt, length(tgt) > 0 AS filled FROM translation_cache",
         "knn_chunks": f"WITH {_ALIGN} SELECT src, sc AS src_chunk, dst, dc AS dst_chunk, round(sim, 6) AS sim, near AS rank FROM k1",
         "vote_docs": f"WITH {_ALIGN} SELECT src, dst, votes, rank FROM v1",
@@ -210,6 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "bimax_min": f"WITH {_ALIGN} SELECT src, dst, round(s_min, 6) AS score FROM bm SEMI JOIN v1 USING (src, dst)",
         "csls_edges": f"WITH {_margins('s_max')} SELECT src, dst, round(margin, 6) AS margin, rank FROM mg",
         "align_mm": f"WITH {_margins('s_max')} SELECT src, dst, round(margin, 6) AS margin FROM mg WHERE margin >= 0.0",
+        "align_one_to_one": f"WITH RECURSIVE {_margins('s_avg')}, eg AS (SELECT src, dst, margin, row_number() OVER (ORDER BY margin DESC, src, dst) AS r FROM mg WHERE margin >= -1.0), gr AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS ud UNION ALL SELECT eg.r, CASE WHEN list_contains(us, src) OR list_contains(ud, dst) THEN us ELSE list_append(us, src) END, CASE WHEN list_contains(us, src) OR list_contains(ud, dst) THEN ud ELSE list_append(ud, dst) END FROM gr JOIN eg ON eg.r = gr.r + 1), tk AS (SELECT unnest(us) AS src, unnest(ud) AS dst FROM (SELECT * FROM gr ORDER BY r DESC LIMIT 1)) SELECT src, dst, round(margin, 6) AS margin FROM tk JOIN eg USING (src, dst)",
         "align_eval": f"WITH {_margins('s_max')}, f AS (SELECT DISTINCT src, dst FROM mg WHERE margin >= 0.0), g AS (SELECT DISTINCT label AS src, label AS dst FROM embeddings), c AS (SELECT (SELECT count(*) FROM f SEMI JOIN g USING (src, dst)) AS tp, (SELECT count(*) FROM f ANTI JOIN g USING (src, dst)) AS fp, (SELECT count(*) FROM g ANTI JOIN f USING (src, dst)) AS fn), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS q FROM c) SELECT tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 6) AS f1 FROM r",
         "gold_pairs": "SELECT DISTINCT src, tgt FROM gold_pair WHERE src IS NOT NULL AND tgt IS NOT NULL AND src <> '' AND tgt <> ''",
         "target_link": "WITH k AS (SELECT regexp_extract(txt_path, '([^/]*)$', 1) AS tgt, min(coalesce(final_url, canonical_url, url, '')) AS link FROM candidate WHERE txt_path IS NOT NULL GROUP BY 1) SELECT src, tgt, coalesce(link, '') AS link FROM (SELECT DISTINCT src, tgt FROM gold_pair WHERE src IS NOT NULL AND tgt IS NOT NULL AND src <> '' AND tgt <> '') LEFT JOIN k USING (tgt)",

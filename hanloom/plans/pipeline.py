@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align, dedup, pages, segments
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -54,8 +55,11 @@ class Pipeline:
             F.concat_ws("/", "doc_id", "page_id").alias("global_id"), "doc_id", "page_id", "domain", "title", "html_title", F.col("clean").alias("text"), F.col("clean_len").alias("text_len"),
             F.col("han_chars_").alias("han_chars"), F.col("han_ratio_").alias("han_ratio"), T.traditional_score(F.col("clean")).alias("traditional_score"), F.col("hash").alias("content_hash"),
         )
+        # What follows reads the cleaned texts several times.
+        rows = cut_lineage(rows)
         kept = rows.join(dedup.exact(rows).where("kept = global_id").select("global_id"), "global_id")
         if c.near:
+            kept = cut_lineage(kept)
             found = dedup.near(kept, "global_id", T.signature(F.col("text")), c.near_grams, c.near_threshold, dedup.quality_order(prefer_longer=True))
             kept = kept.join(found.where("keeper is null").select(F.col("node").alias("global_id")), "global_id")
         return kept
@@ -71,8 +75,6 @@ class Pipeline:
         """(src, dst, margin) of the documents that match."""
         c = self.align
         mode = "max" if c.mode == "m-m" else "avg"
-        forward = align.bimax(align.vote(align.knn(sources, targets, c.k_chunks), c.k_docs), sources, targets, mode, c.trim)
-        back = align.vote(align.knn(targets, sources, c.k_chunks), c.k_docs).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        margins = align.csls(forward, align.bimax(back, sources, targets, mode, c.trim), c.csls_k, c.k_out)
+        margins = align.margins(sources, targets, c.k_chunks, c.k_docs, mode, c.trim, c.csls_k, c.k_out)
         edges = align.edges_above(margins, c.threshold)
         return edges if c.mode == "m-m" else align.one_to_one(edges)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set
-    only where the session names none (tests on one machine).
+    The folder is the session's ``spark.checkpoint.dir``.  Where it names none, a folder of
+    our own is set on one machine only; on a cluster it would not be shared, so that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "hanloom-checkpoint"))
     return df.checkpoint(eager)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..session import keep
+
 TRACE = S.ArrayType(S.StructType([S.StructField(n, t) for n, t in [("query_id", S.StringType()), ("query", S.StringType()), ("rank", S.IntegerType()), ("rerank_source", S.StringType()), ("requested_num_results", S.IntegerType()), ("source_block", S.StringType())]]))
 KEYWORDS = "doc_id string, chunks array<struct<chunk_id:int,keywords:array<struct<word:string,score:double,pos:string>>>>"
 HITS = "doc_id string, query_results array<struct<query_id:string,query:string,rerank_source:string,requested_num_results:int,urls:array<struct<source_block:string,rank:int,title:string,url:string,snippet:string>>>>"
 PAGES = "doc_id string, pages array<struct<page_id:string,url:string,canonical_url:string,final_url:string,domain:string,title:string,html_title:string,status:string,http_status:int,content_type:string,content_kind:string,text_len:int,needs_ocr:boolean,error:string,text:string>>"
+QUERIES = "doc_id string, results array<struct<query_id:string,query:string,rerank_source:string>>"
 METADATA = "doc_idx bigint, file_path string, emb_file string, n_chunks int"
 
 
@@ -20,8 +23,42 @@ def corpus(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bo
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """The files with ``doc_idx``, their position in the order of names; for lists of files, which are small."""
-    return files.withColumn("doc_idx", F.row_number().over(Window.orderBy("file_name")).cast("bigint") - 1)
+    """The files with ``doc_idx``, their position in the order of names.
+
+    Names are range-partitioned and counted by partition, so that no task sorts all of them.
+    """
+    placed = keep(files.repartitionByRange("file_name").sortWithinPartitions("file_name").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first")).orderBy("_part").collect()  # one row for each partition
+    before = 0
+    offsets = []
+    for row in sizes:
+        offsets.append((row["_part"], before - row["_first"]))
+        before += row["n"]
+    shift = files.sparkSession.createDataFrame(offsets, "_part int, _shift bigint")
+    return placed.join(F.broadcast(shift), "_part").withColumn("doc_idx", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def with_metadata(pairs: DataFrame, index: DataFrame, column: str, name: str) -> DataFrame:
+    """Pairs with the index of the file named in ``column`` as ``name``; pairs that name no file are dropped."""
+    return pairs.join(index.select(F.col("file_name").alias(column), F.col("doc_idx").alias(name)), column)
+
+
+def query_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, query_no, query_id, query, rerank_source) of query documents, without blank queries."""
+    q = docs.select("doc_id", F.posexplode("results").alias("query_no", "q"))
+    return q.select("doc_id", "query_no", "q.query_id", F.trim("q.query").alias("query"), F.coalesce("q.rerank_source", F.lit("")).alias("rerank_source")).where("query <> ''")
+
+
+def vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_idx, chunk, vec) of stored vectors, all or those of the indexes ``wanted`` (doc_idx); an index without vectors gives no row."""
+    stored = spark.read.parquet(path)
+    return stored if wanted is None else stored.join(wanted.select("doc_idx").distinct(), "doc_idx", "left_semi")
+
+
+def lookup(index: DataFrame, doc_idx: int) -> str | None:
+    """The file name of one index, None if there is none."""
+    row = index.where(F.col("doc_idx") == doc_idx).select("file_name").first()
+    return row[0] if row else None
 
 
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

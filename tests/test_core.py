@@ -106,11 +106,11 @@ def test_knn_in_blocks(spark):
         if c % 2 == 0:
             sims = sorted(((-sum(x * y for x, y in zip(v, w)), e, k) for e, k, w in rows if k % 2), key=lambda s: s)[:3]
             expected |= {(d, c, e, k) for _, e, k in sims}
-    block, align.QUERY_BLOCK = align.QUERY_BLOCK, 7
+    block, align.BLOCK = align.BLOCK, 7
     try:
         got = {(r.src, r.src_chunk, r.dst, r.dst_chunk) for r in align.knn(q, t, 3).collect()}
     finally:
-        align.QUERY_BLOCK = block
+        align.BLOCK = block
     assert got == expected
     assert align.knn(q.limit(0), t, 3).count() == 0 and align.knn(q, t.limit(0), 3).count() == 0
 
@@ -222,3 +222,159 @@ def test_keyword_candidates_edge_rules(spark):
     assert got(tag=lambda w: F.transform(w, lambda x: F.when(x == "quan", "E").otherwise("N"))) == {"vua", "và", "của", "triều", "vua và", "của triều", "và quan của"}
     assert got(tag=lambda w: F.transform(w, lambda x: F.when(x == "quan", "X").otherwise("N"))) == {"vua", "và", "của", "triều", "vua và", "của triều"}
     assert got(tag=keywords.rule_tags) == got()
+
+
+def test_sizes_and_names(spark):
+    assert [T.size_in_bytes(x) for x in ("500000", "2KB", "1.5G", "3 mb", " ", None)] == [500000, 2048, 1610612736, 3145728, None, None]
+    with pytest.raises(ValueError):
+        T.size_in_bytes("many")
+    assert one(spark, T.unit_form(F.col("t")), t=" a  b　c ") == "a_b_c"
+    assert one(spark, T.without_site(F.col("t")), t="國史 - Wikisource, the library") == "國史"
+
+
+def test_exact_removal_keeps_rows_without_a_hash_apart(spark):
+    rows = [(1, "d", "x", 0.5, 0.9, 10, 20), (2, "d", "x", 0.5, 0.9, 10, 20), (3, "d", "x", 0.9, 0.1, 1, 2), (4, "d", None, 0.1, 0.1, 1, 1), (5, "d", None, 0.1, 0.1, 1, 1), (3, "d", "x", 0.9, 0.1, 1, 2)]
+    df = spark.createDataFrame(rows, "global_id long, domain string, content_hash string, traditional_score double, han_ratio double, han_chars int, text_len int")
+    assert sorted(tuple(r) for r in dedup.exact(df).collect()) == [(1, 3), (2, 3), (3, 3), (4, 4), (5, 5)]
+    assert dedup.exact(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric,scope", [("jaccard", None), ("containment", None), ("asymmetric", None), ("jaccard", "doc_id")])
+def test_near_removal_equals_the_sequential_rule(spark, metric, scope):
+    rng = random.Random(5)
+    bases = ["".join(rng.choice("天地玄黃宇宙洪荒日月盈昃辰宿列張") for _ in range(60)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        text = rng.choice(bases)
+        if rng.random() < 0.6:
+            a = rng.randrange(40)
+            text = text[:a] + rng.choice("寒來暑往") + text[a + rng.randrange(12) :]
+        rows.append((i, f"d{i % 2}", text, float(rng.randrange(3))))
+    rows += [(40, "d0", None, 0.0), (41, "d0", "", 0.0), rows[3]]
+    least = 0.8
+    grams = {i: {t[k : k + 3] for k in range(max(1, len(t) - 2))} if t else set() for i, _, t, _ in rows}
+    kept, expected = [], {}
+    for i, doc, t, q in sorted(set(rows), key=lambda r: (-r[3], r[0])):
+        keeper = None
+        for k, kdoc in kept:
+            a, b = grams[k], grams[i]
+            if not a or not b or scope and doc != kdoc:
+                continue
+            m = len(a & b)
+            shares = (m / len(b), m / len(a))
+            like = {"jaccard": m / (len(a) + len(b) - m) >= least, "containment": m / min(len(a), len(b)) >= least, "asymmetric": shares[0] >= least or min(shares) >= 0.9 * least}[metric]
+            if like:
+                keeper = k
+                break
+        expected[i] = keeper
+        if keeper is None:
+            kept.append((i, doc))
+    df = spark.createDataFrame(rows, "global_id long, doc_id string, text string, q double")
+    got = {r.node: r.keeper for r in dedup.near(df, "global_id", F.col("text"), 3, least, [F.desc("q"), F.asc("global_id")], metric, scope).collect()}
+    assert got == expected and any(v is not None for v in expected.values())
+
+
+def test_fetching_with_retries():
+    from hanloom.sources import connectors as C
+
+    waits, answers = [], iter([C.Unreachable("lost"), {"http_status": 429}, {"http_status": 503}, {"http_status": 404, "final_url": "u", "content_type": "t", "body": b"x"}])
+
+    def call(url):
+        answer = next(answers)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    page = C.fetch_once(call, "u", sleep=waits.append)
+    # Powers 0, 1 + 2 and 2; a 404 is a page by its status.
+    assert waits == [1.0, 8.0, 4.0] and page["status"] == "ok" and page["http_status"] == 404
+
+    def broken(url):
+        raise KeyError("no")
+
+    assert C.fetch_once(broken, "u", sleep=waits.append)["status"] == "error" and len(waits) == 3
+    failed = C.fetch_once(lambda url: {"http_status": 500}, "u", retries=2, sleep=waits.append)
+    assert failed["error"] == "HTTP 500" and len(waits) == 5
+
+
+def test_connectors_ask_once(spark):
+    from hanloom.sources import connectors as C
+
+    def fetcher():
+        return lambda url: {"http_status": 200, "final_url": url, "content_type": "text/plain", "body": url.encode()}
+
+    urls = spark.createDataFrame([("d", "a"), ("e", "a"), ("e", "b"), ("e", None)], "doc_id string, url string")
+    got = sorted((r.doc_id, r.url or "", r.status or "") for r in C.fetched(urls, fetcher, tasks=2, delay=(0, 0)).collect())
+    assert got == [("d", "a", "ok"), ("e", "", ""), ("e", "a", "ok"), ("e", "b", "ok")]
+
+    def engine():
+        def search(query, wanted, **options):
+            if query == "bad":
+                raise RuntimeError("down")
+            return [{"link": f"{query}{i}", "title": str(options.get("filter"))} for i in range(wanted)]
+
+        return search
+
+    queries = spark.createDataFrame([("d", "q0", "x", 2), ("e", "q1", "x", 2), ("e", "q2", "bad", 1), ("e", "q3", " ", 1)], "doc_id string, query_id string, query string, num_results int")
+    found = C.searched(queries, engine, **C.search_options(omitted=True)).collect()
+    assert sorted((r.doc_id, r.query_id, r.rank or 0, r.url, r.error) for r in found) == [("d", "q0", 1, "x0", ""), ("d", "q0", 2, "x1", ""), ("e", "q1", 1, "x0", ""), ("e", "q1", 2, "x1", ""), ("e", "q2", 0, "", "down")]
+    assert C.search_options("vn") == {"gl": "vn"}
+
+
+def test_translation_with_a_table(spark):
+    from hanloom.sources import connectors as C
+
+    def service():
+        return lambda terms: {t: t.upper() for t in terms if t != "none"}
+
+    terms = spark.createDataFrame([("An_Nam",), ("an nam",), ("empty",), ("new  word",), ("none",)], "term string")
+    known = spark.createDataFrame([("an nam", "安南"), ("empty", "")], "src_norm string, tgt string")
+    made, table = C.translated_terms(terms, known, service, batch=1, rest=0)
+    assert sorted(tuple(r) for r in made.collect()) == [("An_Nam", "安南"), ("an nam", "安南"), ("empty", ""), ("new  word", "NEW WORD"), ("none", "")]
+    assert {r.src_norm for r in table.collect()} == {"an nam", "empty", "new word"}
+    waits = []
+
+    def down(terms):
+        raise OSError
+
+    assert C.call_with_retry(down, ["a"], sleep=waits.append) == {} and waits == [1, 2]
+
+
+def test_files_are_numbered_and_vectors_read_by_index(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{i:03d}",) for i in range(50)], "file_name string").repartition(7)
+    index = tables.numbered(files)
+    assert sorted((r.file_name, r.doc_idx) for r in index.collect()) == [(f"f{i:03d}", i) for i in range(50)]
+    assert tables.lookup(index, 7) == "f007" and tables.lookup(index, 99) is None
+    rows = spark.createDataFrame([(0, 0, [1.0]), (0, 1, [2.0]), (2, 0, [3.0])], "doc_idx bigint, chunk int, vec array<double>")
+    names = index.where("doc_idx < 3").select("doc_idx", F.col("file_name").alias("file_path"))
+    sinks.vectors(rows, str(tmp_path / "v"), names, {"mode": "x"})
+    assert {(r.doc_idx, r.n_chunks) for r in tables.metadata(spark, str(tmp_path / "v/metadata")).collect()} == {(0, 2), (1, 0), (2, 1)}
+    wanted = spark.createDataFrame([(2,), (9,)], "doc_idx bigint")
+    assert [r.vec for r in tables.vectors(spark, str(tmp_path / "v/vectors"), wanted).collect()] == [[3.0]]
+
+
+def test_query_planning(spark):
+    ranked = spark.createDataFrame([("d", "a", 0, 1), ("d", "b", 2, 2), ("d", "c", 1, 3), ("e", "x", 0, 1), ("e", "y", 0, 2)], "doc string, term string, support int, place int")
+    chosen = lambda **k: sorted((r.doc, r.place, r.term) for r in keywords.select_terms(ranked, "doc", 3, **k).collect())
+    assert chosen() == [("d", 1, "b"), ("d", 2, "c"), ("e", 1, "x"), ("e", 2, "y")]
+    assert chosen(fill=True) == [("d", 1, "b"), ("d", 2, "c"), ("d", 3, "a"), ("e", 1, "x"), ("e", 2, "y")]
+    tagged = ranked.withColumn("tag", F.when(F.col("term") == "c", "N Np").otherwise("N"))
+    assert sorted((r.place, r.term, r.is_exact) for r in keywords.exact_and_loose(tagged, "doc", 1).where("doc = 'd'").collect()) == [(1, "c", True), (2, "b", False), (3, "a", False)]
+    counts = spark.createDataFrame([("d", 10), ("e", 1)], "doc string, chunks bigint")
+    assert sorted(tuple(r) for r in keywords.local_ranges(counts, "doc").collect()) == [("d", 0, 0, 1), ("d", 1, 2, 4), ("d", 2, 5, 6), ("d", 3, 7, 9), ("e", 0, 0, 0)]
+    asked = spark.createDataFrame([("wikisource_bot",), ("semantic",), (None,)], "rerank_source string")
+    assert [r.num_results for r in keywords.wanted_results(asked, 10, 4).collect()] == [10, 4, 4]
+    words = spark.createDataFrame([("d", "p", [1.0, 0.0]), ("d", "q", [1.0, 1.0])], "doc string, word string, vec array<double>")
+    docs = spark.createDataFrame([("d", [0.0, 1.0])], "doc string, vec array<double>")
+    assert [r.word for r in keywords.rank_by_vector(words, docs, "doc", 1).collect()] == ["q"]
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from hanloom import session as S
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda d: None)
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+    with pytest.raises(ValueError):
+        S.cut_lineage(df)
