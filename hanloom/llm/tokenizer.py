@@ -20,6 +20,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,10 +153,13 @@ class Encoder:
 def token_ids(rows: DataFrame, key: str = "doc_id", vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(key, ids): one row for each row of ``rows``, null and empty texts with an empty list."""
     kind = dict(rows.dtypes)[key]
-    path = str(Path(vocabulary))
+    # The file is sent to the executors, so that it need not lie there.
+    context = rows.sparkSession.sparkContext
+    context.addFile(str(Path(vocabulary)))
+    name = Path(vocabulary).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(path))
+        encoder = Encoder(load_ranks(SparkFiles.get(name)))
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
