@@ -15,6 +15,7 @@ shingle form the set of their whole text, if any; empty ones take part in no pai
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, keep
 from .common import arrow_map, flat_map, signed64
 
 WIDTH = 5
@@ -98,33 +99,52 @@ def _mix(values: np.ndarray) -> np.ndarray:
 
 
 class BitTrie:
-    """A binary trie over sketches, self-joined within a Hamming budget."""
+    """A binary trie over sketches, self-joined within a Hamming budget.
 
-    def __init__(self, sketches: list[int], idents: list[int]) -> None:
+    Entries may have labels; pairs of equal labels are left out, and so are whole pairs of nodes all of whose
+    entries have one label.
+    """
+
+    def __init__(self, sketches: list[int], idents: list[int], labels: list[int] | None = None) -> None:
         self.bits = MINIMA
-        self.root = self._build(sorted(zip(sketches, idents)), 0)
+        # Without labels each entry has one of its own.
+        self.root = self._build(sorted(zip(sketches, idents, labels or range(len(idents)))), 0)
 
-    def _build(self, entries: list[tuple[int, int]], depth: int):
+    def _build(self, entries: list[tuple[int, int, int]], depth: int):
         # A path without branches is kept as a leaf of whole sketches, compared at once.
-        if len(entries) == 1 or depth == self.bits or entries[0][0] == entries[-1][0]:
-            return entries
-        shift = self.bits - 1 - depth
-        split = next((i for i, (s, _) in enumerate(entries) if s >> shift & 1), len(entries))
-        if split in (0, len(entries)):
-            return self._build(entries, depth + 1)
-        return shift, self._build(entries[:split], depth + 1), self._build(entries[split:], depth + 1), entries[0][0], entries
+        while True:
+            if len(entries) == 1 or depth == self.bits or entries[0][0] == entries[-1][0]:
+                return entries
+            shift = self.bits - 1 - depth
+            split = bisect_left(entries, 1, key=lambda e: e[0] >> shift & 1)
+            if split not in (0, len(entries)):
+                break
+            depth += 1
+        left, right = self._build(entries[:split], depth + 1), self._build(entries[split:], depth + 1)
+        one = self._label(left)
+        return shift, left, right, entries[0][0], one if one is not None and one == self._label(right) else None
+
+    @staticmethod
+    def _label(node) -> int | None:
+        """The label that all entries of a node have, if they have one."""
+        if isinstance(node, tuple):
+            return node[4]
+        first = node[0][2]
+        return first if all(e[2] == first for e in node) else None
 
     def pairs(self, budget: int) -> Iterator[tuple[int, int]]:
-        """Each unordered pair of entries within ``budget`` differing bits once."""
+        """Each unordered pair of entries with different labels within ``budget`` differing bits once."""
         stack = [(self.root, self.root)]
         while stack:
             a, b = stack.pop()
+            if (one := self._label(a)) is not None and one == self._label(b):
+                continue
             leaf_a, leaf_b = isinstance(a, list), isinstance(b, list)
             if leaf_a and leaf_b:
                 same = a is b
-                for i, (x, p) in enumerate(a):
-                    for y, q in a[i + 1 :] if same else b:
-                        if (x ^ y).bit_count() <= budget:
+                for i, (x, p, own) in enumerate(a):
+                    for y, q, other in a[i + 1 :] if same else b:
+                        if own != other and (x ^ y).bit_count() <= budget:
                             yield (p, q) if p < q else (q, p)
                 continue
             if a is b:
@@ -153,9 +173,8 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     return flat_map(rows.select(key, "text"), sign, f"{key} {kind}, class bigint, plain string")
 
 
-def similar_classes(representatives: DataFrame, threshold: float) -> DataFrame:
-    """(class_a, class_b) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``."""
-    budget = error_budget(threshold)
+def sketches(representatives: DataFrame) -> DataFrame:
+    """(trie, class, sketch): each class in the tries of the forest."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = _leads(TRIES, LEAD)
@@ -177,38 +196,50 @@ def similar_classes(representatives: DataFrame, threshold: float) -> DataFrame:
                     [pa.array(keys.ravel(), pa.int64()), part.column(0).take(pa.array(wide)), pa.array([raw[i] for i in wide], pa.binary())], ["trie", "class", "sketch"]
                 )
 
-    sketches = arrow_map(representatives.select("class", "plain"), sketch, "trie bigint, class bigint, sketch binary")
-    # Sorting by trie lets a task walk one trie at a time, without gathering the partition.
-    placed = sketches.repartition("trie").sortWithinPartitions("trie")
+    return arrow_map(representatives.select("class", "plain"), sketch, "trie bigint, class bigint, sketch binary")
+
+def walked(placed: DataFrame, each) -> DataFrame:
+    """(class_a, class_b) that ``each(sketches, classes, labels)`` gives for the entries of every trie.
+
+    ``placed`` are rows (trie, class, sketch, label), the label null where there is none.  Sorting by trie lets a
+    task walk one trie at a time, without gathering the partition.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        current, idents, marks = None, [], []
-
-        def join() -> None:
-            if len(idents) > 1:
-                found.extend(BitTrie([int.from_bytes(m, "big") for m in marks], idents).pairs(budget))
+        current, idents, marks, labels = None, [], [], []
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["class_a", "class_b"])
 
+        def join() -> Iterator[pa.RecordBatch]:
+            if len(idents) > 1:
+                for pair in each([int.from_bytes(m, "big") for m in marks], idents, labels):
+                    found.append(pair)
+                    if len(found) >= 50_000:
+                        yield flush()
+                        found.clear()
+
         for batch in batches:
             tries = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.diff(tries, prepend=tries[0] - 1 if len(tries) else 0)).tolist() + [len(tries)]
             for lo, hi in zip(edges, edges[1:]):
                 if tries[lo] != current:
-                    join()
-                    current, idents, marks = tries[lo], [], []
+                    yield from join()
+                    current, idents, marks, labels = tries[lo], [], [], []
                 if hi - lo > 1 or hi == len(tries) or lo == 0:
                     idents += batch.column(1).slice(lo, hi - lo).to_pylist()
                     marks += batch.column(2).slice(lo, hi - lo).to_pylist()
-            if len(found) > 50_000:
-                yield flush()
-                found.clear()
-        join()
+                    labels += batch.column(3).slice(lo, hi - lo).to_pylist()
+        yield from join()
         yield flush()
 
-    candidates = arrow_map(placed, walk, "class_a bigint, class_b bigint").distinct()
+    spread = placed.select("trie", "class", "sketch", "label").repartition("trie").sortWithinPartitions("trie")
+    return arrow_map(spread, walk, "class_a bigint, class_b bigint").distinct()
+
+
+def verified(candidates: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (class_a, class_b) whose shingle sets reach ``threshold``."""
     plain = representatives.select("class", "plain")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +263,39 @@ def similar_classes(representatives: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(both.select("class_a", "class_b", "plain_a", "plain_b"), verify, "class_a bigint, class_b bigint")
 
 
+def similar_classes(representatives: DataFrame, threshold: float) -> DataFrame:
+    """(class_a, class_b) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``."""
+    budget = error_budget(threshold)
+    alone = sketches(representatives).withColumn("label", F.lit(None).cast("bigint"))
+    return verified(walked(alone, lambda marks, idents, _: BitTrie(marks, idents).pairs(budget)), representatives, threshold)
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class, label): the least class of the connected part of each node (class) of the graph with ``edges`` (class_a, class_b).
+
+    Labels run along the edges with pointer jumping, so the number of rounds is logarithmic in a part's diameter;
+    the lineage is cut each round in the shared checkpoint folder.
+    """
+    edges = cut_lineage(edges.unionByName(edges.toDF("class_b", "class_a").select("class_a", "class_b")).distinct())
+    # Nodes without an edge are their own label, and take no part in the rounds.
+    current = cut_lineage(edges.select(F.col("class_a").alias("class")).distinct().withColumn("label", F.col("class")))
+    while True:
+        near = edges.join(current.toDF("class_b", "offer"), "class_b").groupBy(F.col("class_a").alias("class")).agg(F.min("offer").alias("offer"))
+        stepped = current.join(near, "class").select("class", F.least("label", "offer").alias("next"), "label")
+        jumps = stepped.select(F.col("class").alias("next"), F.col("next").alias("jump"))
+        jumped = cut_lineage(stepped.join(jumps, "next", "left").select("class", F.least("next", F.coalesce("jump", "next")).alias("label"), F.col("label").alias("before")))
+        current = jumped.select("class", "label")
+        if jumped.where("label <> before").isEmpty():
+            break
+    return nodes.join(current, "class", "left").select("class", F.coalesce("label", "class").alias("label"))
+
+
 def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     """Pairs of keys, smaller first, whose texts reach ``threshold``, from class pairs and membership."""
-    signed = classes(rows, key).persist()
-    members = signed.select(key, "class").distinct().persist()
+    signed = keep(classes(rows, key))
+    members = keep(signed.select(key, "class").distinct())
     representatives = signed.groupBy("class").agg(F.min("plain").alias("plain"))
-    linked = similar_classes(representatives.persist(), threshold)
+    linked = similar_classes(keep(representatives), threshold)
     a, b = members.toDF("a", "class_a"), members.toDF("b", "class_b")
     across = linked.join(a, "class_a").join(b, "class_b").select("a", "b")
     within = members.toDF("a", "class").join(members.toDF("b", "class"), "class").where("a < b").select("a", "b")
@@ -245,30 +303,29 @@ def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
 
 
 def groups(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(key, group_id, links): one row for each text; group_id is the smallest key of its connected group.
+    """(key, group_id, copies): one row for each text, its connected group by the smallest key, and how many texts are equal to it.
 
-    Labels run along class links with pointer jumping, so the number of rounds is logarithmic in a
-    group's diameter; the lineage is cut each round in the shared checkpoint folder.
+    No link between different texts is lost, and those of a group are not made: first every class is compared with
+    one other of each of its tries, which joins most of a group of near copies; then the tries are walked for pairs
+    of classes that are not in one group yet, and nodes of the tries that lie in one group are passed over whole.
     """
-    signed = classes(rows, key).persist()
+    signed = keep(classes(rows, key))
     members = signed.select(key, "class").distinct()
-    representatives = signed.groupBy("class").agg(F.min("plain").alias("plain")).persist()
-    linked = similar_classes(representatives, threshold)
-    edges = cut_lineage(linked.unionByName(linked.toDF("class_b", "class_a").select("class_a", "class_b")).distinct())
-    labels = cut_lineage(members.groupBy("class").agg(F.min(key).alias("label"), F.count("*").alias("copies")))
-    sizes = labels.select("class", "copies")
-    links = edges.join(sizes.toDF("class_b", "n"), "class_b").groupBy(F.col("class_a").alias("class")).agg(F.sum("n").alias("n"))
-    current = labels.select("class", "label")
-    owner = members.toDF("label", "root")
-    while True:
-        near = edges.join(current.toDF("class_b", "offer"), "class_b").groupBy(F.col("class_a").alias("class")).agg(F.min("offer").alias("offer"))
-        stepped = current.join(near, "class", "left").select("class", F.least("label", F.coalesce("offer", "label")).alias("next"), "label")
-        # Jump to the label of the class that the label's own text belongs to.
-        roots = stepped.select(F.col("class").alias("root"), F.col("next").alias("jump"))
-        jumped = stepped.join(owner.toDF("next", "root"), "next").join(roots, "root").select("class", F.least("next", "jump").alias("label"), F.col("label").alias("before"))
-        jumped = cut_lineage(jumped)
-        current = jumped.select("class", "label")
-        if jumped.where("label <> before").isEmpty():
-            break
-    own = members.join(sizes, "class").join(links, "class", "left").join(current, "class")
-    return own.select(key, F.col("label").alias("group_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
+    representatives = keep(signed.groupBy("class").agg(F.min("plain").alias("plain")))
+    budget = error_budget(threshold)
+    placed = keep(sketches(representatives))
+
+    def stars(marks, idents, _):
+        return [(min(idents[0], other), max(idents[0], other)) for mark, other in zip(marks[1:], idents[1:]) if (marks[0] ^ mark).bit_count() <= budget]
+
+    nodes = representatives.select("class")
+    first = cut_lineage(components(nodes, verified(walked(placed.withColumn("label", F.lit(None).cast("bigint")), stars), representatives, threshold)))
+    labelled = placed.join(first, "class")
+    rest = verified(walked(labelled, lambda marks, idents, labels: BitTrie(marks, idents, labels).pairs(budget)), representatives, threshold)
+    # The links that are left run between the groups of the first round.
+    between = rest.join(first.toDF("class_a", "a"), "class_a").join(first.toDF("class_b", "b"), "class_b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+    last = components(first.select(F.col("label").alias("class")).distinct(), between).toDF("label", "whole")
+    own = members.join(first, "class").join(last, "label")
+    named = own.groupBy("whole").agg(F.min(key).alias("group_id"))
+    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
+    return own.join(named, "whole").join(copies, "class").select(key, "group_id", "copies")
