@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, keep
@@ -313,7 +313,9 @@ def groups(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     members = signed.select(key, "class").distinct()
     representatives = keep(signed.groupBy("class").agg(F.min("plain").alias("plain")))
     budget = error_budget(threshold)
-    placed = keep(sketches(representatives))
+    # A class that is alone in a trie has no partner there; most are.
+    crowd = F.count("*").over(Window.partitionBy("trie"))
+    placed = keep(sketches(representatives).withColumn("n", crowd).where("n > 1").drop("n"))
 
     def stars(marks, idents, _):
         return [(min(idents[0], other), max(idents[0], other)) for mark, other in zip(marks[1:], idents[1:]) if (marks[0] ^ mark).bit_count() <= budget]
