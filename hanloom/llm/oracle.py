@@ -34,5 +34,26 @@ SELECT DISTINCT doc_id, item_id FROM v JOIN w USING (run, part)
 """
 
 
+P2_CLEAN = f"""
+WITH found AS ({P2_FOUND.strip()}),
+t AS (SELECT DISTINCT global_id, text FROM candidate WHERE content_kind = 'html'),
+s AS (SELECT global_id, string_split(text, chr(10)) AS ls FROM t WHERE text IS NOT NULL),
+l AS (SELECT global_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM s),
+kept AS (SELECT global_id, string_agg(line, chr(10) ORDER BY n) AS text FROM l ANTI JOIN found f ON f.global_id = l.global_id AND f.line_no = l.n GROUP BY 1)
+SELECT t.global_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text FROM t LEFT JOIN kept USING (global_id)
+"""
+
+P5_GROUPS = f"""
+WITH RECURSIVE pr AS ({P5_FOUND.strip()}),
+e AS (SELECT global_id_a AS x, global_id_b AS y FROM pr UNION SELECT global_id_b, global_id_a FROM pr),
+tx AS (SELECT DISTINCT global_id, {_LETTERS} AS s FROM candidate WHERE text IS NOT NULL),
+gr AS (SELECT DISTINCT global_id, CASE WHEN length(s) < 5 THEN s ELSE substr(s, i, 5) END AS w FROM (SELECT global_id, s, unnest(range(1, greatest(length(s) - 3, 2))) AS i FROM tx WHERE length(s) > 0)),
+cl AS (SELECT global_id, list_sort(list(w)) AS ws FROM gr GROUP BY global_id),
+cp AS (SELECT global_id, count(*) OVER (PARTITION BY ws) AS copies FROM cl),
+r AS (SELECT global_id AS a, global_id AS b FROM cl UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT global_id, group_id, copies FROM (SELECT a AS global_id, min(b) AS group_id FROM r GROUP BY a) JOIN cp USING (global_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p9_found": P9_FOUND}
+    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p9_found": P9_FOUND}
