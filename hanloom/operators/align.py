@@ -28,15 +28,16 @@ def _blocks(segments: DataFrame, side: str, blocks: int) -> DataFrame:
     return segments.select(at, "doc", "chunk", "vec").groupBy(f"{side}_block").agg(*[F.collect_list(c).alias(f"{side}_{c}") for c in ("doc", "chunk", "vec")])
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
+def knn(queries: DataFrame, targets: DataFrame, k: int = 5, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(src, src_chunk, dst, dst_chunk, sim, rank): the k best targets of every query by inner product.
 
     Exact search in blocks: both sides are hashed into groups of about BLOCK vectors on the executors, every
     pair of groups is one matrix product, and each gives at most its k best (with ties) before the shuffle.
-    A group of queries is sent to the groups of targets, never a vector to the driver.
+    A group of queries is sent to the groups of targets, never a vector to the driver.  ``sizes`` are the numbers
+    of both sides' vectors, counted if they are not given.
     """
     ship(queries.sparkSession)
-    n, m = queries.count(), targets.count()
+    n, m = sizes or (queries.count(), targets.count())
     a, b = _blocks(queries, "q", max(1, -(-n // BLOCK))), _blocks(targets, "t", max(1, -(-m // BLOCK)))
     every = F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-m // BLOCK)) - 1))).alias("t_block")
     met = a.select("*", every).join(b, "t_block").select("q_doc", "q_chunk", "q_vec", "t_doc", "t_chunk", "t_vec")
@@ -122,8 +123,9 @@ def bimax(pairs: DataFrame, sources: DataFrame, targets: DataFrame, mode: str =
 
 def margins(sources: DataFrame, targets: DataFrame, k_chunks: int = 5, k_docs: int = 10, mode: str = "avg", trim: float = 0.7, k: int = 10, k_out: int = 10) -> DataFrame:
     """csls over both directions; each candidate pair is compared once, whichever direction proposed it."""
-    forth = keep(vote(knn(sources, targets, k_chunks), k_docs).select("src", "dst"))
-    back = keep(vote(knn(targets, sources, k_chunks), k_docs).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    n, m = sources.count(), targets.count()
+    forth = keep(vote(knn(sources, targets, k_chunks, (n, m)), k_docs).select("src", "dst"))
+    back = keep(vote(knn(targets, sources, k_chunks, (m, n)), k_docs).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     scored = keep(bimax(forth.unionByName(back), sources, targets, mode, trim))
     return csls(scored.join(forth, ["src", "dst"], "left_semi"), scored.join(back, ["src", "dst"], "left_semi"), k, k_out)
 
