@@ -6,8 +6,8 @@ the token a suffix begins with; a shard is counted by partial aggregation, so no
 line is ever gathered in one task.  Two depths of it decide.  At depth one, the suffixes that begin
 with a token give the distinct pages that repeat it; a token inside any longer repeated substring
 heads such a bucket itself, so these buckets cover all repeated substrings.  At depth two, the tokens
-that follow a repeated one tell what it heads: one that goes on in ever new fragments is the heading
-of a list of links, and the unique fragments below it belong to the list.
+that follow a repeated one tell what it heads: one that goes on in fragments not repeated themselves is
+the heading of a list of links, and the unique fragments below it belong to the list.
 
 Covered lines are boilerplate, on the host or, for hosts with few pages, because several other hosts
 repeat them (the site's own name masked).  Unique runs are kept, lists below a list heading excepted.
@@ -34,7 +34,7 @@ from .common import arrow_map, flat_map, signed64
 HOST_PAGES, HOST_SHARE = 3, 0.02
 #: Hosts on which a token has this support, for it to count on every host.
 HOSTS = 2
-#: A repeated token heads a list if, of its occurrences, this share goes on in a fragment found nowhere else behind it.
+#: A repeated token heads a list if, of its occurrences, this share goes on in a fragment that is not repeated on the host.
 LIST_SHARE = 0.7
 
 _DIGITS = regex.compile(r"\d+")
@@ -130,10 +130,14 @@ def repeated_tokens(lines: DataFrame) -> DataFrame:
     on_host = counted.where(F.col("n") >= HOST_PAGES).join(hosts, "host").where(F.col("n") >= F.col("pages") * HOST_SHARE).select("host", "token", "wide")
     widely = on_host.groupBy("wide").agg(F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= HOSTS).select("wide")
     everywhere = counted.join(widely, "wide").select("host", "token", "wide")
-    # Depth two: with what, and with how many different fragments, the suffixes that begin with a token go on.
-    pairs = lines.where("part = 0 and token is not null and first").where(F.col("form") == FRAGMENT).groupBy("wide", "follows").agg(F.count("*").alias("n"))
-    heads = pairs.groupBy("wide").agg(F.sum("n").alias("n"), F.count("follows").alias("different")).where((F.col("n") >= HOST_PAGES) & (F.col("different") >= F.col("n") * LIST_SHARE)).select("wide", F.lit(True).alias("head"))
-    hits = on_host.unionByName(everywhere).distinct()
+    hits = keep(on_host.unionByName(everywhere).distinct())
+    # Depth two: how often the suffixes that begin with a token go on in a fragment that is not itself repeated on its host.
+    # Shares do not depend on the number of pages; that of different fragments falls as the stock of fragments is used up.
+    pairs = lines.where("part = 0 and token is not null and first").where(F.col("form") == FRAGMENT).groupBy("host", "wide", "follows").agg(F.count("*").alias("n"))
+    repeated = hits.select("host", F.col("token").alias("follows"), F.lit(True).alias("repeated")).distinct()
+    after = pairs.join(hits.select("host", "wide").distinct(), ["host", "wide"], "left_semi").join(repeated, ["host", "follows"], "left")
+    fresh = F.sum(F.when(F.col("follows").isNotNull() & F.col("repeated").isNull(), F.col("n")).otherwise(0))
+    heads = after.groupBy("wide").agg(F.sum("n").alias("n"), fresh.alias("fresh")).where((F.col("n") >= HOST_PAGES) & (F.col("fresh") >= F.col("n") * LIST_SHARE)).select("wide", F.lit(True).alias("head"))
     return hits.join(heads, "wide", "left").groupBy("host", "token").agg(F.coalesce(F.max("head"), F.lit(False)).alias("head"))
 
 

@@ -123,6 +123,17 @@ def test_page_body_keeps_the_work(spark):
     assert pairs(page_body.boilerplate_lines(df.limit(0))) == []
 
 
+def test_list_headings_do_not_depend_on_the_number_of_pages(spark):
+    schema = "doc_id string, page_id string, domain string, html_title string, title string, text string, content_kind string"
+    places = ["alpha", "beta", "gamma", "delta"]
+    # Each entry stands once on a host; with more hosts the stock of four recurs.
+    text = lambda h, i: f"Home page\nWork{places[i]} of host, scroll {i}\nOwn text {places[i]} of the {h}th work.\nA place, {places[i]} of {h}\nMost read\nThe {places[i]} chronicle\nLife of {places[i - 1]}\nAbout us"
+    for hosts in (1, 12):
+        rows = [(f"d{h}-{i}", "1", f"host{h}", f"Work{places[i]} of host, scroll {i} - Site name", None, text("abcdefghijkl"[h], i), "html") for h in range(hosts) for i in range(4)]
+        found = pairs(page_body.boilerplate_lines(spark.createDataFrame(rows, schema)))
+        assert found == sorted((f"d{h}-{i}", "1", n) for h in range(hosts) for i in range(4) for n in (1, 5, 6, 7, 8)), hosts
+
+
 # --- 4 --------------------------------------------------------------------------------------
 
 
