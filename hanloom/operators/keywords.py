@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import keep, ship
 
 
 #: Tags of words that may stand at the edge of a candidate, and tags that may not occur in one.
 EDGE_TAGS, NO_TAGS = ("N", "Np", "V", "Nc", "A"), ("CH", "X")
+#: Words of 64 documents that are compared at once for pairs of terms.
+PAIR_CELLS = 1 << 20
 
 
 def rule_tags(words: Column) -> Column:
@@ -106,17 +111,43 @@ def mmr(keywords: DataFrame, key: str, top: int = 10, diversity: float = 0.4) ->
     return keywords.select(key, "word", "score").groupBy(key).applyInPandas(choose, f"{key} {kind}, word string, score double")
 
 
+def _counted_pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of one block of documents, its rows (doc, term) and the pairs (a, b) asked there: in how many of its documents both terms stand."""
+    docs, words = (left.column(i).combine_chunks().dictionary_encode() for i in (1, 2))
+    docs, words = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (docs, words))
+    have = np.zeros((len(words.dictionary) + 1, len(docs.dictionary) // 64 * 8 + 8), np.uint8)  # the last row stands for terms that the block doesn't hold
+    d = docs.indices.to_numpy(zero_copy_only=False)
+    np.bitwise_or.at(have, (words.indices.to_numpy(zero_copy_only=False), d >> 3), np.left_shift(1, d & 7).astype(np.uint8))
+    have = have.view(np.uint64)
+    at = [pc.fill_null(pc.index_in(right.column(c), words.dictionary), len(words.dictionary)).to_numpy() for c in ("a", "b")]
+    step = max(1, PAIR_CELLS // have.shape[1])
+    hits = [np.bitwise_count(have[at[0][i : i + step]] & have[at[1][i : i + step]]).sum(1, dtype=np.int64) for i in range(0, right.num_rows, step)]
+    made = pa.table({"a": right.column("a"), "b": right.column("b"), "hits": pa.array(np.concatenate([*hits, np.zeros(0, np.int64)]))})
+    return made.filter(pc.greater(made.column("hits"), 0))
+
+
 def pair_hits(terms: DataFrame, corpus: DataFrame, group: str, doc: str = "doc_id") -> DataFrame:
     """(group, a, b, hits): in how many corpus rows two terms of a group both occur, a before b.
 
     ``terms`` (group, term) are few for each group; ``corpus`` (doc, term) lists the terms each row holds.
+
+    A pair is counted once, however many groups ask for it.  Documents are hashed into blocks; a pair goes only to the
+    blocks that hold its rarer term, where rows of bits over the block's documents are compared.  No pair meets a document by itself.
     """
-    mine = terms.select(group, "term").distinct()
-    at = mine.join(corpus.select(doc, "term").distinct(), "term")
-    pairs = at.toDF("a", group, doc).join(at.toDF("b", group, doc), [group, doc]).where("a < b")
-    seen = pairs.groupBy(group, "a", "b").agg(F.count_distinct(doc).alias("hits"))
+    spark = terms.sparkSession
+    ship(spark)
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mine = keep(terms.select(group, "term").distinct())
     every = mine.toDF(group, "a").join(mine.toDF(group, "b"), group).where("a < b")
-    return every.join(seen, [group, "a", "b"], "left").select(group, "a", "b", F.coalesce("hits", F.lit(0)).alias("hits"))
+    rows = keep(corpus.where(F.col("term").isNotNull() & F.col(doc).isNotNull()).select(F.pmod(F.xxhash64(doc), F.lit(blocks)).alias("block"), F.col(doc).cast("string").alias("doc"), "term"))
+    held = rows.select("block", "term").distinct()
+    spread = held.groupBy("term").agg(F.count("*").alias("n"))
+    asked = every.select("a", "b").distinct().join(spread.toDF("a", "na"), "a").join(spread.toDF("b", "nb"), "b")
+    rarer = asked.select("a", "b", F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("term"))
+    sent = rarer.join(held, "term").select(F.col("block").alias("at"), "a", "b")
+    counted = rows.groupBy("block").cogroup(sent.groupBy("at")).applyInArrow(_counted_pairs, "a string, b string, hits bigint")
+    seen = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    return every.join(seen, ["a", "b"], "left").select(group, "a", "b", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def pair_quality(hits: Column) -> Column:

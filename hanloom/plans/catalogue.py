@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import align, dedup, keywords, pages
 from ..sources import tables
-from ..session import table
+from ..session import keep, table
 
 #: Least margin of an edge in the queries; the given vectors are hubs of each other, so it is lower than the default.
 THRESHOLD = 0.0
@@ -237,9 +237,9 @@ def _terms(s, d):
     return _aggregated(s, d, 8).select("file_name", F.col("word").alias("term"), "score")
 
 
-def _hits_of_terms(s, d):
+def _hits_of_terms(s, d, terms=None):
     corpus = keyword_candidates(s, d).select(F.col("file_name").alias("doc_id"), F.col("word").alias("term"))
-    return keywords.pair_hits(_terms(s, d), corpus, "file_name")
+    return keywords.pair_hits(_terms(s, d) if terms is None else terms, corpus, "file_name")
 
 
 def cooccurrence_hits(s, d):
@@ -247,7 +247,8 @@ def cooccurrence_hits(s, d):
 
 
 def anchor_score(s, d):
-    return keywords.anchor_scores(_terms(s, d), _hits_of_terms(s, d), "file_name").drop("score").withColumn("quality", F.round("quality", 6))
+    terms = keep(_terms(s, d))
+    return keywords.anchor_scores(terms, _hits_of_terms(s, d, terms), "file_name").drop("score").withColumn("quality", F.round("quality", 6))
 
 
 def query_variants(s, d):
@@ -264,8 +265,8 @@ def query_compose(s, d):
     return keywords.compose(found, "file_name", 3, ("a.example", "b.example"))
 
 
-def _pool(s, d):
-    found = keywords.translated(_terms(s, d), table(s, d, "translation_cache"))
+def _pool(s, d, terms=None):
+    found = keywords.translated(_terms(s, d) if terms is None else terms, table(s, d, "translation_cache"))
     return keywords.rerank_pool(found.select("file_name", "term", "score", F.col("trans").alias("han")), min_han=2)
 
 
@@ -274,7 +275,8 @@ def rerank_candidates(s, d):
 
 
 def _anchors(s, d):
-    return keywords.top_anchors(_pool(s, d), _hits_of_terms(s, d), "file_name", 6)
+    terms = keep(_terms(s, d))
+    return keywords.top_anchors(_pool(s, d, terms), _hits_of_terms(s, d, terms), "file_name", 6)
 
 
 def anchor_top(s, d):

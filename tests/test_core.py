@@ -378,3 +378,26 @@ def test_checkpoints_need_a_shared_folder():
     df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
     with pytest.raises(ValueError):
         S.cut_lineage(df)
+
+
+def most_rows(node):
+    """The most rows that any step of an executed plan gave."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return most_rows(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return most_rows(node.plan())
+    metric = node.metrics().get("numOutputRows")
+    own = metric.get().value() if metric.isDefined() else 0
+    children = node.children()
+    return max([own, *(most_rows(children.apply(i)) for i in range(children.size()))])
+
+
+def test_common_terms_of_many_groups_are_counted_once(spark):
+    # Each group asks for the same terms, and each document holds them: groups times documents must not meet.
+    terms = spark.createDataFrame([(f"g{i}", t) for i in range(300) for t in ("a", "b", "c", "none")], "file_name string, term string")
+    corpus = spark.createDataFrame([(f"d{i}", t) for i in range(300) for t in ("a", "b") + ("c",) * (i % 3 == 0)] + [("d0", "a"), (None, "a"), (None, "b")], "doc_id string, term string")
+    hits = keywords.pair_hits(terms, corpus, "file_name")
+    got = {tuple(r) for r in hits.collect()}
+    assert got == {(f"g{i}", a, b, n) for i in range(300) for a, b, n in [("a", "b", 300), ("a", "c", 100), ("b", "c", 100), ("a", "none", 0), ("b", "none", 0), ("c", "none", 0)]}
+    assert most_rows(hits._jdf.queryExecution().executedPlan()) < 20_000
