@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.iterate import first_independent
 from ..session import cut_lineage, keep
+from . import gram_sets
 
 # Hosts whose copies are preferred; a parameter of every caller.
 TRUSTED: tuple[str, ...] = ()
@@ -46,34 +47,26 @@ def gram_table(rows: DataFrame, key: str, text: Column, n: int) -> DataFrame:
 
 
 def gram_classes(rows: DataFrame, key: str, text: Column, n: int, scope: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Members (key, cls) and classes (cls, scope, grams, size): texts with equal sets of n-grams, within a scope if one is named, are one class."""
-    at = F.col(scope) if scope else F.lit(None).cast("string")
-    sets = rows.select(key, at.alias("scope"), T.gram_hashes(text, n).alias("grams")).where(F.size("grams") > 0)
-    sets = keep(sets.withColumn("cls", F.xxhash64("scope", "grams", F.size("grams"))))
-    return sets.select(key, "cls"), sets.dropDuplicates(["cls"]).select("cls", "scope", "grams", F.size("grams").alias("size"))
+    """Members (key, cls) and classes (cls, scope, text, size): texts with equal sets of n-grams, within a scope if one is named, are one class.
+
+    A class has one of its texts, which is smaller than its set; classes lie in partitions by ``cls``.
+    """
+    at = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
+    sets = keep(gram_sets.with_class(rows.select(key, at.alias("scope"), text.alias("text")), key, n))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.select(key, "cls"), sets.select("cls", "scope", "text", "size").repartition(parts, "cls").dropDuplicates(["cls"])
 
 
-def similar_classes(classes: DataFrame, least: float, metric: str = "jaccard") -> DataFrame:
+def similar_classes(classes: DataFrame, n: int, least: float, metric: str = "jaccard") -> DataFrame:
     """(a, b, common, size_a, size_b, score) of the pairs of different classes of one scope that reach ``least``.
 
-    A prefix-filtered join: grams are ordered by rarity over all rows, and a pair that reaches the
-    bound must share one of the first grams of each set, so only those are joined; the length bound
-    prunes before the sets are compared.
+    A prefix-filtered join with sketches gives few candidates besides the pairs themselves; only their texts meet, and are compared in full.
     """
-    exploded = classes.select("cls", "scope", "size", F.explode("grams").alias("gram"))
-    rarity = exploded.groupBy("gram").agg(F.count("*").alias("df"))
-    place = Window.partitionBy("cls").orderBy("df", "gram")
-    # Jaccard t needs ceil(t·|x|) common grams of x; containment in the smaller set the same of it.
-    kept = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
-    prefix = exploded.join(rarity, "gram").withColumn("rn", F.row_number().over(place)).where(F.col("rn") <= kept).select("cls", "scope", "size", "gram")
-    a, b = prefix.toDF("x", "sx", "nx", "gram"), (prefix if metric == "jaccard" else exploded.select("cls", "scope", "size", "gram")).toDF("y", "sy", "ny", "gram")
-    # The smaller set's first grams are looked up in the larger one, for containment in all of it.
-    bound = F.col("nx") >= F.col("ny") * least - 1e-9 if metric == "jaccard" else F.lit(True)
-    met = a.join(b, "gram").where((F.col("x") != F.col("y")) & F.col("sx").eqNullSafe(F.col("sy")) & (F.col("nx") <= F.col("ny")) & bound)
-    candidates = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sets = classes.select("cls", "grams", "size")
-    both = candidates.join(sets.toDF("a", "ga", "size_a"), "a").join(sets.toDF("b", "gb", "size_b"), "b")
-    counted = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("ga", "gb")).alias("common"))
+    found = gram_sets.candidates(classes, n, least, metric)
+    # Spread by class once for both joins.
+    texts = classes.select("cls", "scope", "text", "size").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cls")
+    both = found.join(texts.toDF("a", "sa", "text_a", "size_a"), "a").join(texts.toDF("b", "sb", "text_b", "size_b"), "b").withColumn("same", F.col("sa").eqNullSafe(F.col("sb")))
+    counted = gram_sets.common_runs(both, n)
     return counted.withColumn("score", metrics(metric)).where(F.col("score") >= least - 1e-9)
 
 
@@ -88,7 +81,7 @@ def similar_pairs(rows: DataFrame, key: str, text: Column, n: int, least: float,
     members, classes = gram_classes(rows, key, text, n, scope)
     classes = keep(classes)
     own = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.col("size").alias("common"), F.lit(1.0).alias("score"))
-    every = similar_classes(classes, least, metric).select("a", "b", "size_a", "size_b", "common", "score").unionByName(own)
+    every = similar_classes(classes, n, least, metric).select("a", "b", "size_a", "size_b", "common", "score").unionByName(own)
     pairs = every.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     swap = F.col("x") > F.col("y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "score")
@@ -116,7 +109,7 @@ def near(rows: DataFrame, key: str, text: Column, n: int, least: float, order: l
     members, classes = gram_classes(rows, key, text, n, scope)
     classes = keep(classes)
     asym = metric == "asymmetric"
-    pairs = cut_lineage(similar_classes(classes, MUTUAL * least if asym else least, "containment" if asym else metric))
+    pairs = cut_lineage(similar_classes(classes, n, MUTUAL * least if asym else least, "containment" if asym else metric))
     # Ranks of the texts that are in question; the order of the others does not matter.
     copied = members.groupBy("cls").agg(F.count("*").alias("copies")).where("copies > 1").select("cls")
     linked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(copied).distinct()

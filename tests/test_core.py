@@ -401,3 +401,30 @@ def test_common_terms_of_many_groups_are_counted_once(spark):
     got = {tuple(r) for r in hits.collect()}
     assert got == {(f"g{i}", a, b, n) for i in range(300) for a, b, n in [("a", "b", 300), ("a", "c", 100), ("b", "c", 100), ("a", "none", 0), ("b", "none", 0), ("c", "none", 0)]}
     assert most_rows(hits._jdf.queryExecution().executedPlan()) < 20_000
+
+
+def texts_with_a_common_part(count=300):
+    """Texts of 60 letters of their own and 30 common ones; every tenth is a near copy of the one before it, in the same document."""
+    rng, letters = random.Random(3), [chr(0x4E00 + i) for i in range(4000)]
+    common, rows = "".join(letters[:30]), []
+    for i in range(count):
+        text = rows[-1][2][:-1] + "末" if i % 10 == 9 else "".join(rng.choice(letters[30:]) for _ in range(60)) + common
+        rows.append((i, f"d{(i - (i % 10 == 9)) % 7}", text))
+    return rows
+
+
+@pytest.mark.parametrize("metric,least,scope", [("jaccard", 0.85, None), ("containment", 0.9, None), ("containment", 0.855, None), ("jaccard", 0.5, "doc_id")])
+def test_runs_of_texts_do_not_meet_one_by_one(spark, metric, least, scope):
+    rows = texts_with_a_common_part()
+    pairs = dedup.similar_pairs(spark.createDataFrame(rows, "k bigint, doc_id string, t string"), "k", F.col("t"), 3, least, metric, scope)
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for _, _, t in rows]
+    expected = set()
+    for a, x in enumerate(grams):
+        for b in range(a + 1, len(grams)):
+            m = len(x & grams[b])
+            score = m / (len(x) + len(grams[b]) - m) if metric == "jaccard" else m / min(len(x), len(grams[b]))
+            if score >= least - 1e-9 and (scope is None or rows[a][1] == rows[b][1]):
+                expected.add((a, b, m, len(x), len(grams[b])))
+    assert {(r.a, r.b, r.common, r.size_a, r.size_b) for r in pairs.collect()} == expected and len(expected) == 30
+    # 26,400 runs; what is joined is a small part of them.
+    assert most_rows(pairs._jdf.queryExecution().executedPlan()) < 13_000
